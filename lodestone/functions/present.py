@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,25 +14,34 @@ MODES = ("conjunctive", "disjunctive", "semantic", "reranking")
 REQUEST = "query string, query_type int, n_results int, snippet_len int"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once for each row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def snippet(text: Column, terms: Column, length: int = 200) -> Column:
     """About ``length`` bytes of ``text`` round the first occurrence of the first of the sorted ``terms`` that it holds;
     both ends move outward to whole characters. Null where no term occurs, or where text or terms are null."""
     if length < 1:
         raise ValueError("the snippet length must be positive")
-    words = tokens(text)
-    anchor = F.get(F.filter(terms, lambda t: F.array_contains(words, t)), F.lit(0))
-    around = F.concat(F.lit(f"(?<!{TOKEN_CLASS})"), anchor, F.lit(f"(?!{TOKEN_CLASS})"))
-    pos = F.octet_length(F.get(F.split(ascii_lower(text), around, 2), F.lit(0)))
-    size, half = F.octet_length(text), length // 2
-    data = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")  # one character for each byte
-    first = F.greatest(pos - half, F.lit(0))
-    inside = (first < size) & (F.ascii(F.substring(data, first + 1, F.lit(1))) >= 128)
-    begin = F.greatest(first - F.when(inside, F.length(F.regexp_extract(F.substring(data, F.lit(1), first + 1), r"([\x80-\xFF]+)$", 1))).otherwise(0), F.lit(0))
-    last = F.least(pos + half, size)
-    run = F.length(F.regexp_extract(F.substring(data, last + 1, size), r"^([\x80-\xFF]*)", 1))
-    end = last + run + F.when((run > 0) & (last + run + 1 < size), 1).otherwise(0)
-    cut = F.decode(F.encode(F.substring(data, begin + 1, end - begin), "ISO-8859-1"), "UTF-8")
-    return F.when(anchor.isNotNull(), cut)
+    half = length // 2
+
+    def find(anchor: Column) -> Column:
+        around = F.concat(F.lit(f"(?<!{TOKEN_CLASS})"), anchor, F.lit(f"(?!{TOKEN_CLASS})"))
+        pos = F.octet_length(F.get(F.split(ascii_lower(text), around, 2), F.lit(0)))
+        return let(F.struct(pos.alias("pos"), F.octet_length(text).alias("size"), F.decode(F.encode(text, "UTF-8"), "ISO-8859-1").alias("data")), ends)  # one character for each byte
+
+    def ends(x: Column) -> Column:
+        first, last = F.greatest(x["pos"] - half, F.lit(0)), F.least(x["pos"] + half, x["size"])
+        inside = (first < x["size"]) & (F.ascii(F.substring(x["data"], first + 1, F.lit(1))) >= 128)
+        # the runs beyond the ASCII range that hold the two ends
+        back = F.when(inside, F.length(F.regexp_extract(F.substring(x["data"], F.lit(1), first + 1), r"([\x80-\xFF]+)$", 1))).otherwise(0)
+        run = F.length(F.regexp_extract(F.substring(x["data"], last + 1, x["size"]), r"^([\x80-\xFF]*)", 1))
+        bounds = F.struct(F.greatest(first - back, F.lit(0)).alias("begin"), (last + run).alias("end"), run.alias("run"), x["size"].alias("size"), x["data"].alias("data"))
+        return let(bounds, lambda y: F.decode(F.encode(F.substring(y["data"], y["begin"] + 1, y["end"] + F.when((y["run"] > 0) & (y["end"] + 1 < y["size"]), 1).otherwise(0) - y["begin"]), "ISO-8859-1"), "UTF-8"))
+
+    anchor = let(tokens(text), lambda words: F.get(F.filter(terms, lambda t: F.array_contains(words, t)), F.lit(0)))
+    return let(anchor, lambda a: F.when(a.isNotNull(), find(a)))
 
 
 def highlight(text: Column, words: list[str]) -> Column:
