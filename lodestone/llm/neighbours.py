@@ -135,7 +135,6 @@ def _hash(dim: int, tables: int, axes: int, probes: int):
 
 def _search(dim: int, k: int):
     """Rows come sorted by (bucket, chunk), entries before queries in each; a group's entries are at most about ROWS."""
-    names = ["q", "c", "cos", "c_min"]
 
     def best(e: tuple, q_class: pa.Array, q_vec: np.ndarray, q_no: np.ndarray) -> Iterator[pa.RecordBatch]:
         e_class, e_vec, e_min, e_no = e
@@ -157,7 +156,11 @@ def _search(dim: int, k: int):
             first = np.searchsorted(r, r)
             keep = np.arange(len(r)) - first < k
             r, c, exact = r[keep], c[keep], exact[keep]
-            yield pa.RecordBatch.from_arrays([q_class.take(pa.array(r + at)), e_class.take(pa.array(c)), pa.array(exact), pa.array(e_min[c])], names)
+            who, start = np.unique(r, return_index=True)
+            # one row for each query, its best first
+            near = pa.StructArray.from_arrays([pa.array(-exact), pa.array(e_min[c]), e_class.take(pa.array(c))], ["far", "c_min", "c"])
+            lists = pa.ListArray.from_arrays(np.append(start, len(r)).astype(np.int32), near)
+            yield pa.RecordBatch.from_arrays([q_class.take(pa.array(who + at)), lists], ["q", "near"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, parts, entries = None, [], None
@@ -231,7 +234,7 @@ def nearest_vectors(corpus: DataFrame, questions: DataFrame | None = None, corpu
                 entry, query = (x.withColumn("chunk", F.lit(0)) for x in (entry, query))
             both = entry.unionByName(query).select("bucket", "chunk", "entry", "class", "c_min", "vec", "no")
             both = both.repartition(min(parts * 4, 4096), "bucket", "chunk").sortWithinPartitions("bucket", "chunk", F.desc("entry"))
-            found.append(cut(both.mapInArrow(_search(dim, k), "q binary, c binary, cos double, c_min bigint")))
+            found.append(cut(both.mapInArrow(_search(dim, k), "q binary, near array<struct<far: double, c_min: bigint, c: binary>>")))
     finally:
         spark.conf.set(keep, before)
         hashed.unpersist()
@@ -239,9 +242,10 @@ def nearest_vectors(corpus: DataFrame, questions: DataFrame | None = None, corpu
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.unionByName(f)
-    # at most k rows of each table, probe and chunk
-    order = Window.partitionBy("q").orderBy(F.desc("cos"), "c_min")
-    pairs = pairs.dropDuplicates(["q", "c"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("q", "c", "cos")
+    # at most k candidates of each table, probe and chunk meet; a class found repeatedly has the same cosine each time
+    pairs = pairs.groupBy("q").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+    fresh = F.filter("near", lambda x, i: (i == 0) | (F.get(F.col("near"), F.greatest(i - 1, F.lit(0)))["c"] != x["c"]))
+    pairs = pairs.select("q", F.explode(F.slice(fresh, 1, k)).alias("x")).select("q", F.col("x.c").alias("c"), (-F.col("x.far")).alias("cos"))
     # of many equal vectors only the k + 1 smallest ids can be named: k, and one that may be the asking vector's own
     smallest = Window.partitionBy("class").orderBy("id")
     named = members.where(is_corpus).withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k + 1).groupBy("class").agg(F.collect_list("id").alias("ids"))
