@@ -41,6 +41,18 @@ def share_budgets(total: int, targets: list[tuple[str, float, int]], have: dict[
     return budgets
 
 
+def reachable_total(targets: list[tuple[str, float, int]], have: dict[str, int], reach: float = 0.9) -> int:
+    """The largest total at which sources with ``reach`` of all weight can give their whole share of it; where they
+    cannot at any total, the most that the best stocked sources can give theirs of."""
+    most = sorted(((have.get(s, 0) * r / share, share) for s, share, r in targets if share > 0 and have.get(s, 0)), reverse=True)
+    weight, goal, total = 0.0, reach * sum(share for _, share, _ in targets), 0.0
+    for total, share in most:
+        weight += share
+        if weight >= goal - 1e-9:
+            break
+    return int(total)
+
+
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int = GAP) -> np.ndarray:
     """How many documents of each length to take so that their tokens reach ``budget`` or the nearest sum below.
 
@@ -88,11 +100,12 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int =
     return take
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0, path: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0, reach: float = 0.9, path: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """The mix (source, doc_id, n_tokens, uses) and the report (one row for each source of ``targets``).
 
     ``docs`` has doc_id (unique), text and source, ``targets`` has source, target_share and max_repeats. Sizes are tokens
-    of the public tokenizer; ``total_tokens`` is by default the tokens of all documents of the target sources. A source
+    of the public tokenizer; ``total_tokens`` is by default the largest total at which sources with ``reach`` of the weight
+    reach their share: a larger mix would be further from the targets, a smaller one would waste documents. A source
     whose documents, each used ``max_repeats`` times, fall short of its share gives all it can, and the others fill the
     total in proportion to their shares. Every document is used k or k + 1 times, k being equal within a source; which
     ones are used once more is decided by budget fitting on exact lengths and then by a seeded hash. Documents with a null
@@ -112,7 +125,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total_tokens: int | None =
 
     lengths = sized.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("docs"))
     have = {s: int(t) for s, t in lengths.groupBy("source").agg(F.sum(F.expr("docs * n_tokens"))).collect()}
-    total = sum(have.values()) if total_tokens is None else int(total_tokens)
+    total = reachable_total(goal, have, reach) if total_tokens is None else int(total_tokens)
     budgets = share_budgets(total, goal, have)
     plan = []
     for s, share, repeats in goal:
