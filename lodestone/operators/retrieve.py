@@ -16,40 +16,53 @@ def clean_queries(queries: DataFrame) -> DataFrame:
     return rows.select("qid", query_key(F.col("query")).alias("key"), query_terms(F.col("query")).alias("terms")).distinct()
 
 
+def query_ids(queries: DataFrame) -> DataFrame:
+    """(qid, kid): queries that are equal when cleaned share a ``kid``, the smallest qid among them. A qid with several
+    texts has several."""
+    rows = clean_queries(queries).select("qid", "key")
+    return rows.join(rows.groupBy("key").agg(F.min("qid").alias("kid")), "key").select("qid", "kid").distinct()
+
+
 def known_terms(queries: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(key, term, doc_cnt) of the terms that the lexicon holds, for each distinct cleaned query: queries that are equal
+    """(kid, term, doc_cnt) of the terms that the lexicon holds, for each distinct cleaned query: queries that are equal
     when cleaned are answered once. Unknown terms are dropped."""
-    terms = clean_queries(queries).select("key", "terms").distinct().select("key", F.explode("terms").alias("term"))
-    return terms.join(lexicon.select("term", "doc_cnt"), "term").select("key", "term", "doc_cnt")
+    keys = clean_queries(queries).groupBy("key").agg(F.min("qid").alias("kid"), F.first("terms").alias("terms"))
+    terms = keys.select("kid", F.explode("terms").alias("term")).distinct()
+    return terms.join(lexicon.select("term", "doc_cnt"), "term").select("kid", "term", "doc_cnt")
 
 
-def matches(known: DataFrame, postings: DataFrame, conjunctive: bool) -> DataFrame:
-    """(key, doc_id, term, doc_cnt, freq) of the pages that hold all (or any) of the known terms of a query.
+def lookups(known: DataFrame, postings: DataFrame, conjunctive: bool) -> DataFrame:
+    """(kid, n, doc_id, term, doc_cnt, freq): the postings that decide which pages match, and the number ``n`` of terms
+    that a page must hold: all known terms of the query, or one.
 
     For all terms, the pages of each query's rarest term are looked up first and only these meet the other terms, so the
     long lists of common terms are never multiplied by the queries.
     """
     if not conjunctive:
-        return known.join(postings, "term").select("key", "doc_id", "term", "doc_cnt", "freq")
-    per_key = known.groupBy("key").agg(F.min(F.struct("doc_cnt", "term")).alias("r"), F.count(F.lit(1)).alias("n"))
-    rarest = per_key.select("key", "n", F.col("r.term").alias("term"))
-    pages = rarest.join(postings.select("term", "doc_id"), "term").select("key", "n", "doc_id")
-    wanted = pages.join(known, "key")
-    found = wanted.join(postings, ["term", "doc_id"])
-    have = F.count(F.lit(1)).over(Window.partitionBy("key", "doc_id"))  # at most as many rows as the query has terms
-    return found.withColumn("have", have).where("have = n").select("key", "doc_id", "term", "doc_cnt", "freq")
-
-
-def score(matched: DataFrame, pages: DataFrame, k: float = K, b: float = B) -> DataFrame:
-    """(key, doc_id, score): the sum over the terms, rounded to six decimals before anything is ranked, so that the order
-    of summation cannot change a rank."""
+        return known.join(postings, "term").select("kid", F.lit(1).cast("bigint").alias("n"), "doc_id", "term", "doc_cnt", "freq")
+    per_key = known.groupBy("kid").agg(F.min(F.struct("doc_cnt", "term")).alias("r"), F.count(F.lit(1)).alias("n"))
+    rarest = per_key.select("kid", "n", F.col("r.term").alias("term"))
+    pages = rarest.join(postings.select("term", "doc_id"), "term").select("kid", "n", "doc_id")
+    return pages.join(known, "kid").join(postings, ["term", "doc_id"]).select("kid", "n", "doc_id", "term", "doc_cnt", "freq")
+
+
+def matches(known: DataFrame, postings: DataFrame, conjunctive: bool) -> DataFrame:
+    """(kid, doc_id) of the pages that hold all (or any) of the known terms of a query."""
+    found = lookups(known, postings, conjunctive).groupBy("kid", "doc_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("have"))
+    return found.where("have >= n").select("kid", "doc_id")
+
+
+def score(looked_up: DataFrame, pages: DataFrame, k: float = K, b: float = B) -> DataFrame:
+    """(kid, doc_id, score) of the pages that hold enough terms, matched and summed in one aggregation. Scores are
+    rounded to six decimals before anything is ranked, so that the order of summation cannot change a rank."""
     stats = corpus_stats(pages).select(F.col("n").alias("__n"), F.col("avgdl").alias("__avg"))
-    rows = matched.join(pages.select("doc_id", "term_cnt"), "doc_id").join(F.broadcast(stats))  # one row
+    rows = looked_up.join(pages.select("doc_id", "term_cnt"), "doc_id").join(F.broadcast(stats))  # one row
     s = bm25(F.col("freq"), F.col("doc_cnt"), F.col("term_cnt"), F.col("__n"), F.col("__avg"), k, b)
-    return rows.groupBy("key", "doc_id").agg(F.round(F.sum(s), 6).alias("score"))
+    summed = rows.groupBy("kid", "doc_id").agg(F.max("n").alias("n"), F.round(F.sum(s), 6).alias("score"), F.count(F.lit(1)).alias("have"))
+    return summed.where("have >= n").select("kid", "doc_id", "score")
 
 
-def top_n(scored: DataFrame, n: int, key: str = "key", item: str = "doc_id", by: str = "score") -> DataFrame:
+def top_n(scored: DataFrame, n: int, key: str = "kid", item: str = "doc_id", by: str = "score") -> DataFrame:
     """The ``n`` best of every key by score descending, then item, with ``rank``; limited in the map tasks first."""
     if n < 1:
         raise ValueError("n must be positive")
@@ -64,8 +77,8 @@ def search(queries: DataFrame, postings: DataFrame, lexicon: DataFrame, pages: D
     row. Ties go to the smaller doc_id. Pages that the page table does not list are not found.
     """
     known = known_terms(queries, lexicon)
-    hits = top_n(score(matches(known, postings, conjunctive), pages), n)
-    return clean_queries(queries).select("qid", "key").join(hits, "key").select("qid", "rank", "doc_id", "score")
+    hits = top_n(score(lookups(known, postings, conjunctive), pages), n)
+    return query_ids(queries).join(hits, "kid").select("qid", "rank", "doc_id", "score")
 
 
 def hit_freqs(hits: DataFrame, queries: DataFrame, postings: DataFrame) -> DataFrame:
@@ -79,5 +92,5 @@ def hit_freqs(hits: DataFrame, queries: DataFrame, postings: DataFrame) -> DataF
 
 def hit_counts(queries: DataFrame, postings: DataFrame, lexicon: DataFrame, conjunctive: bool) -> DataFrame:
     """(qid, hits): the number of all matching pages of every query, 0 where there is none."""
-    found = matches(known_terms(queries, lexicon), postings, conjunctive).select("key", "doc_id").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("hits"))
-    return clean_queries(queries).select("qid", "key").join(found, "key", "left").select("qid", F.coalesce("hits", F.lit(0)).alias("hits"))
+    found = matches(known_terms(queries, lexicon), postings, conjunctive).groupBy("kid").agg(F.count(F.lit(1)).alias("hits"))
+    return query_ids(queries).join(found, "kid", "left").select("qid", F.coalesce("hits", F.lit(0)).alias("hits"))

@@ -116,8 +116,8 @@ def lexicon_lookup(spark, d):
 
 def unknown_terms_ignored(spark, d):
     queries = table(spark, d, "queries")
-    known = retrieve.known_terms(queries, index.lexicon(_postings(spark, d))).groupBy("key").agg(F.count(F.lit(1)).alias("known"))
-    rows = retrieve.clean_queries(queries).join(known, "key", "left")
+    known = retrieve.known_terms(queries, index.lexicon(_postings(spark, d))).groupBy("kid").agg(F.count(F.lit(1)).alias("known"))
+    rows = retrieve.clean_queries(queries).join(retrieve.query_ids(queries), "qid").join(known, "kid", "left")
     return rows.select("qid", "key", (F.size("terms") - F.coalesce("known", F.lit(0))).cast("bigint").alias("unknown"))
 
 
@@ -147,12 +147,12 @@ def hit_counts_or(spark, d):
 
 def intersect_docs(spark, d):
     postings, lexicon, _ = _index(spark, d)
-    return retrieve.matches(retrieve.known_terms(table(spark, d, "queries"), lexicon), postings, conjunctive=True).select("key", "doc_id").distinct()
+    return retrieve.matches(retrieve.known_terms(table(spark, d, "queries"), lexicon), postings, conjunctive=True)
 
 
 def union_docs(spark, d):
     postings, lexicon, _ = _index(spark, d)
-    return retrieve.matches(retrieve.known_terms(table(spark, d, "queries"), lexicon), postings, conjunctive=False).select("key", "doc_id").distinct()
+    return retrieve.matches(retrieve.known_terms(table(spark, d, "queries"), lexicon), postings, conjunctive=False)
 
 
 def idf_table(spark, d):
@@ -355,7 +355,7 @@ post as (select term, doc_id, sum(freq)::bigint as freq from raw group by 1, 2),
 pg as (select doc_id, max(docno) as docno, max(url) as url, coalesce(max(term_cnt), 0) as term_cnt from page_table where doc_id is not null group by 1),
 st as (select count(*)::double as n, sum(term_cnt)::double / count(*) as a from pg)"""
 _QUERIES = f"""q0 as (select distinct qid, list_sort(list_distinct({_tok("coalesce(query, '')")})) as terms from queries where qid is not null),
-q as (select qid, terms, array_to_string(terms, ' ') as key from q0), qt as (select distinct key, unnest(terms) as term from q),
+q as (select qid, terms, array_to_string(terms, ' ') as txt, min(qid) over (partition by array_to_string(terms, ' ')) as key from q0), qt as (select distinct key, unnest(terms) as term from q),
 known as (select key, qt.term, doc_cnt from qt join lex on qt.term = lex.term), nk as (select key, count(*) as n from known group by 1)"""
 _SCORE = "round(sum(ln((st.n - doc_cnt + 0.5::double) / (doc_cnt + 0.5::double)) * m.freq * 1.9::double / (m.freq + 0.9::double * (0.6::double + 0.4::double * term_cnt / st.a))), 6)"
 
@@ -433,16 +433,16 @@ def oracle_sql() -> dict[str, str]:
         "postings_packed": f"with {_FREQS} select term, string_agg(doc_id::varchar, ' ' order by doc_id) as ids, string_agg(freq::varchar, ' ' order by doc_id) as freqs from tf group by 1",
         "block_merge": f"with {_POST} select * from post",
         "lexicon_merge": "select term, coalesce(sum(doc_cnt), 0)::bigint as doc_cnt from (select distinct * from lexicon where term is not null and term <> '') group by 1",
-        "clean_queries": f"with {_POST}, {_QUERIES} select qid, key, len(terms)::int as terms from q",
-        "lexicon_lookup": f"with {_POST}, {_QUERIES} select * from known",
-        "unknown_terms_ignored": f"with {_POST}, {_QUERIES} select qid, q.key, len(terms) - coalesce(nk.n, 0) as unknown from q left join nk on q.key = nk.key",
+        "clean_queries": f"with {_POST}, {_QUERIES} select qid, txt as key, len(terms)::int as terms from q",
+        "lexicon_lookup": f"with {_POST}, {_QUERIES} select key as kid, term, doc_cnt from known",
+        "unknown_terms_ignored": f"with {_POST}, {_QUERIES} select qid, txt as key, len(terms) - coalesce(nk.n, 0) as unknown from q left join nk on q.key = nk.key",
         "bm25_disjunctive": f"{_search(False)} select * from hits",
         "bm25_conjunctive": f"{_search(True)} select * from hits",
         "hit_freqs": f"{_search(True)}, u as (select distinct qid, unnest(terms) as term from q) select hits.qid, hits.doc_id, string_agg(post.term || ':' || post.freq, ' ' order by post.term) as freqs from hits join u on hits.qid = u.qid join post on post.term = u.term and post.doc_id = hits.doc_id group by 1, 2",
         "hit_counts_and": f"with {_POST}, {_QUERIES}, {_matched(True)}, c as (select key, count(distinct doc_id) as hits from m group by 1) select qid, coalesce(hits, 0) as hits from q left join c on q.key = c.key",
         "hit_counts_or": f"with {_POST}, {_QUERIES}, {_matched(False)}, c as (select key, count(distinct doc_id) as hits from m group by 1) select qid, coalesce(hits, 0) as hits from q left join c on q.key = c.key",
-        "intersect_docs": f"with {_POST}, {_QUERIES}, {_matched(True)} select distinct key, doc_id from m",
-        "union_docs": f"with {_POST}, {_QUERIES}, {_matched(False)} select distinct key, doc_id from m",
+        "intersect_docs": f"with {_POST}, {_QUERIES}, {_matched(True)} select distinct key as kid, doc_id from m",
+        "union_docs": f"with {_POST}, {_QUERIES}, {_matched(False)} select distinct key as kid, doc_id from m",
         "idf_table": f"with {_POST} select term, doc_cnt, round(ln((n - doc_cnt + 0.5::double) / (doc_cnt + 0.5::double)), 9) as idf from lex, st",
         "negative_idf_terms": f"with {_POST} select term, doc_cnt, round(ln((n - doc_cnt + 0.5::double) / (doc_cnt + 0.5::double)), 9) as idf from lex, st where idf < 0",
         "delta_encode": f"with {_POST}, {_GAPS} select term, string_agg(gap::varchar, ' ' order by doc_id) as deltas from g group by 1",
