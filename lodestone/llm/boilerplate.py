@@ -71,7 +71,7 @@ def template(line: str) -> str:
 
 
 def _words(line: str) -> set[int]:
-    low = template(line)[:TRAIN_CHARS].lower()
+    low = template(line).lower()
     parts = re.findall(r"[^\W_]+|[^\w\s]", low)
     if HAN.search(low):
         parts += [low[i : i + 2] for i in range(len(low) - 1)]
@@ -164,24 +164,32 @@ def train(lines: list[tuple[np.ndarray, set[int]]], seed: int = 7) -> np.ndarray
     return weights
 
 
-def cost(x: np.ndarray, words: set[int], weights: np.ndarray) -> float:
-    """Log-odds of boilerplate. What the lists of fixed values say outweighs the learned part; an item-like line by itself
-    says little, its neighbours decide."""
-    learned = float(x @ weights[:SHAPES] + sum(weights[SHAPES + c] for c in words) / math.sqrt(max(1, len(words))))
-    learned = max(-3.0, min(3.0, learned))
+def settled(x: np.ndarray) -> float | None:
+    """The cost of a line whose shape decides, whatever its words."""
     if x[3] or x[4] or x[5] or x[6]:
-        return 4.0 + max(0.0, learned)
+        return 5.0
     if x[16] or x[19]:
-        return -2.5 + min(0.0, learned)
+        return -2.5
     if x[2] and x[1] > 0.6 and not x[7] and (x[24] or x[12] == 0 and x[10] < 0.05):
-        return min(-1.5, learned)  # a whole sentence that the site does not repeat
+        return -2.0  # a whole sentence that the site does not repeat
     if x[7] and x[1] < 1.5:
         return 2.5 if x[7] == 2 else 1.0
-    if x[15] and not x[11] or x[24] and x[1] < 0.8 and not x[2] and not x[17]:
-        return -0.3
-    if x[11]:
-        return max(1.5, learned) if not x[15] else -0.3
-    return learned
+    if x[22] and x[21] and not x[15] and not x[2] and not x[17]:
+        return -0.8  # a few words in lower case: an item of the page's own lists
+    if x[15] or x[24] and x[1] < 0.8 and not x[2] and not x[17]:
+        return -0.3  # like an item of a list or a heading: the neighbours decide
+    return None
+
+
+def cost(x: np.ndarray, line: str, weights: np.ndarray) -> float:
+    """Log-odds of boilerplate: what the shape settles, else what the classifier says of shape and words."""
+    known = settled(x)
+    if known is not None:
+        return known
+    words = _words(line)
+    learned = float(x @ weights[:SHAPES] + sum(weights[SHAPES + c] for c in words) / math.sqrt(max(1, len(words))))
+    learned = max(-3.0, min(3.0, learned))
+    return max(1.5, learned) if x[11] else learned
 
 
 def min_cut(unary: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
@@ -262,11 +270,11 @@ def label_page(body: str, title: str | None, facts: dict[int, tuple[float, int,
     nodes = [i for i, line in enumerate(lines) if line.strip()]
     feats = [_features(lines, i, title, facts.get(i + 1, (0.0, 1, 1, False))) for i in nodes]
     first = True
-    for x, _ in feats:  # a page's name stands above its text once; again it is an item of a list
+    for x in feats:  # a page's name stands above its text once; again it is an item of a list
         x[16], first = x[16] and first, first and not x[16]
-    unary = [cost(x, w, weights) for x, w in feats]
+    unary = [cost(x, lines[i], weights) for i, x in zip(nodes, feats)]
     edges: dict[tuple[int, int], float] = {}
-    kind = [_kind(lines[i], x) for i, (x, _) in zip(nodes, feats)]
+    kind = [_kind(lines[i], x) for i, x in zip(nodes, feats)]
     for a in range(len(nodes) - 1):
         b = a + 1
         gap = nodes[b] - nodes[a] > 1
@@ -295,12 +303,12 @@ def _kind(line: str, x: np.ndarray) -> str:
     return ""
 
 
-def _features(lines: list[str], i: int, title: str | None, facts: tuple[float, int, int, bool]) -> tuple[np.ndarray, set[int]]:
+def _features(lines: list[str], i: int, title: str | None, facts: tuple[float, int, int, bool]) -> np.ndarray:
     rate, site_pages, sites, title_like = facts
     s = lines[i].strip()
     # titles often carry the name of the site behind the page's own
     own = bool(title) and (s == title.strip() or len(s) > 3 and title.startswith(s) and len(title) - len(s) < 40)
-    return shape(lines[i], i, len(lines), rate, site_pages, sites, title_like, own), _words(lines[i])
+    return shape(lines[i], i, len(lines), rate, site_pages, sites, title_like, own)
 
 
 def _pages(df: DataFrame) -> DataFrame:
@@ -350,7 +358,7 @@ def label_lines(df: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
     lines = []
     for r in sample.select(short.alias("lines"), "title", F.slice("facts", 1, 500).alias("facts")).collect():
         facts = {f["line_no"]: (f["rate"], f["site_pages"], f["sites"], f["title_like"]) for f in r["facts"]}
-        lines += [_features(r["lines"], i, r["title"], facts.get(i + 1, (0.0, 1, 1, False))) for i, s in enumerate(r["lines"]) if s.strip()]
+        lines += [(_features(r["lines"], i, r["title"], facts.get(i + 1, (0.0, 1, 1, False))), _words(s)) for i, s in enumerate(r["lines"]) if s.strip()]
     weights = train(lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
