@@ -113,7 +113,10 @@ def shape(line: str, no: int, lines: int, rate: float, site_pages: int, sites: i
     x[15] = title_like
     x[16] = own_title
     x[17] = len(words) == 1 and s[:1].isupper() and s.isalpha()
-    x[18] = bool(OWN_LIST.match(s))
+    if m := OWN_LIST.match(s):
+        # the site's own lists name its parts by a capital word or two
+        rest = s[m.end() - 1 :]
+        x[18] = 2 if rest[:1].islower() or any(c.isdigit() for c in rest) else 1
     x[19] = bool(TABLE_ROW.match(s)) and any(c.isdigit() for c in s)
     x[20] = len(s) > 120
     x[21] = len(words) <= 4
@@ -170,8 +173,12 @@ def settled(x: np.ndarray) -> float | None:
         return 5.0
     if x[16] or x[19]:
         return -2.5
+    if x[18] == 2 and not x[7] and not x[11]:
+        return -2.0
     if x[2] and x[1] > 0.6 and not x[7] and (x[24] or x[12] == 0 and x[10] < 0.05):
         return -2.0  # a whole sentence that the site does not repeat
+    if x[2] and x[1] > 0.2 and x[14] > 0.73 and x[10] < 0.35 and not x[7]:
+        return -1.0  # many sites say it, none on most of its pages
     if x[7] and x[1] < 1.5:
         return 2.5 if x[7] == 2 else 1.0
     if x[22] and x[21] and not x[15] and not x[2] and not x[17]:
@@ -284,6 +291,17 @@ def label_page(body: str, title: str | None, facts: dict[int, tuple[float, int,
         edges[a, b] = w
         if b + 1 < len(nodes) and nodes[b + 1] - nodes[a] == 2 and not gap:
             edges[a, b + 1] = NEXT_BUT_ONE
+    # a list may have a notice between its head and its first item
+    head = None
+    for a, k in enumerate(kind):
+        if k == "head":
+            head = a
+        elif k == "item":
+            if head is not None and a - head > 1:
+                edges[head, a] = LIST
+            head = None
+        elif unary[a] < 4:
+            head = None
     return {i + 1: side for i, side in zip(nodes, min_cut(unary, edges))}
 
 
