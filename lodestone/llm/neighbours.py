@@ -208,8 +208,8 @@ def nearest_vectors(corpus: DataFrame, questions: DataFrame | None = None, corpu
     if not n:
         return spark.createDataFrame([], "vec_kind string, vec_id bigint, corpus_id bigint, cosine double, rank int")
     axes = axes_for(n, dim)
-    # the number stands for the class where classes are only compared with each other
-    hashed = classes.withColumn("no", F.monotonically_increasing_id()).mapInArrow(_hash(dim, tables, axes, probes), "class binary, c_min bigint, vec binary, no bigint, codes array<int>").persist()
+    # a number that stands for the class in comparisons, the same whenever a lost part is computed again
+    hashed = classes.withColumn("no", F.xxhash64("class")).mapInArrow(_hash(dim, tables, axes, probes), "class binary, c_min bigint, vec binary, no bigint, codes array<int>").persist()
 
     parts, found = shuffle_partitions(spark), []
     limit = max(ROWS, n // 4096)  # so at most 4096 buckets of a table are over it
