@@ -141,6 +141,20 @@ select {} from b qualify row_number() over (partition by qid order by score desc
 _WINS = " + ".join(f"(x.{s} is not null and (y.{s} is null or x.{s} > y.{s}))::int" for s in SCORES)
 
 
+def _ideal_point() -> str:
+    best = ", ".join(f"max(case when not isnan({s}) then {s} end) as {s}" for s in SCORES)
+    ends = ", ".join(f"quantile_disc({s}, 0.05) as l{i}, quantile_disc({s}, 0.95) as h{i}" for i, s in enumerate(SCORES))
+    drawn = ", ".join(f"coalesce(least(greatest({s}, l{i}), h{i}), l{i}) as w{i}" for i, s in enumerate(SCORES))
+    norms = ", ".join(f"max(w{i}) as hi{i}, min(w{i}) as lo{i}, sqrt(sum(w{i} * w{i})) as n{i}" for i in range(3))
+    far = lambda to: "sqrt(" + " + ".join(f"power(coalesce((w{i} - {to}{i}) / nullif(n{i}, 0) / 3, 0), 2)" for i in range(3)) + ")"
+    names = ", ".join(SCORES)
+    return f"""with r as (select qid, pid, {best} from rerank_scores where qid is not null and pid is not null group by 1, 2), q as (select qid, {ends} from r group by 1),
+w as (select r.*, {drawn} from r join q on r.qid = q.qid), n as (select qid, {norms} from w group by 1),
+c as (select w.qid, pid, {names}, {far('lo')} as near, {far('hi')} as far from w join n on w.qid = n.qid),
+k as (select qid, pid, {names}, round(coalesce(near / nullif(near + far, 0), 0), 9) as closeness from c)
+select *, row_number() over (partition by qid order by closeness desc, pid) as rank from k"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": "select distinct id from msmarco_docs where length(body) > 2000",
@@ -154,5 +168,6 @@ select cnt.term, occurrences, pages, lexicon_pages, coalesce(lexicon_pages = pag
         "p6_weights": f"{_WEIGHTS} select * from w",
         "p7_found": f"""with r as (select qid, pid, {', '.join(f"max(case when not isnan({s}) then {s} end) as {s}" for s in SCORES)} from rerank_scores where qid is not null and pid is not null group by 1, 2)
 select qid, pid from r as x where not exists (select 1 from r as y where y.qid = x.qid and y.pid <> x.pid and {_WINS} < 2)""",
+        "p7_ranking": _ideal_point(),
         "p8_round_trip": "select doc_id, true as same from documents",
     }
