@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import present
 from lodestone.functions.text import query_terms
 from lodestone.operators import retrieve, vector
+from lodestone.session import shuffle_partitions
 from lodestone.streaming.cache import LRUCache
 
 #: Candidates of the first stage where a second one follows.
@@ -24,7 +25,9 @@ def response_data(hits: DataFrame, pages: DataFrame, texts: DataFrame, queries:
     """(qid, rank, doc_id, score, url, snippet) of hits whose text holds a term of the query; ranks keep their gaps."""
     terms = queries.where("qid is not null").select("qid", query_terms(F.coalesce("query", F.lit(""))).alias("terms")).distinct()
     # n rows per query meet the texts
-    rows = hits.join(terms, "qid").join(pages.select("doc_id", "url"), "doc_id", "left").join(texts, "doc_id")
+    rows = hits.join(terms, "qid").join(pages.select("doc_id", "url"), "doc_id", "left")
+    # few bytes, but much work for each: the number of tasks must not follow the bytes
+    rows = rows.repartition(shuffle_partitions(hits.sparkSession), "doc_id").join(texts, "doc_id")
     rows = rows.withColumn("snippet", present.snippet(F.col("text"), F.col("terms"), snippet_len))
     return rows.where("snippet is not null").select("qid", "rank", "doc_id", "score", "url", "snippet")
 
