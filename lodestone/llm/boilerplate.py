@@ -13,6 +13,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,12 @@ def _words(line: str) -> set[int]:
     if HAN.search(low):
         parts += [low[i : i + 2] for i in range(len(low) - 1)]
     grams = [*parts, *(a + " " + b for a, b in zip(parts, parts[1:])), "^" + " ".join(parts[:2]), "$" + " ".join(parts[-2:])]
-    return {zlib.crc32(g.encode()) % WORDS for g in grams}
+    return {_bucket(g) for g in grams}
+
+
+@lru_cache(maxsize=1 << 16)
+def _bucket(gram: str) -> int:
+    return zlib.crc32(gram.encode()) % WORDS
 
 
 def is_menu(line: str) -> bool:
@@ -86,7 +92,7 @@ def is_menu(line: str) -> bool:
     return len(parts) >= 3 and known >= 2 and max(map(len, parts)) <= 24 or len(parts) == 1 and known == 1
 
 
-SHAPES = 25
+SHAPES = 26
 
 
 def shape(line: str, no: int, lines: int, rate: float, site_pages: int, sites: int, title_like: bool, own_title: bool) -> np.ndarray:
@@ -105,9 +111,10 @@ def shape(line: str, no: int, lines: int, rate: float, site_pages: int, sites: i
         x[7] = 2 if len(m[1]) > 3 or "[" in m[1] else 0 if INNER_STOP.search(s) else 1
     x[8] = no < 4
     x[9] = lines - no <= 5
-    x[10] = rate if site_pages >= 4 else 0
-    x[11] = rate >= 0.2 and site_pages >= 5
-    x[12] = rate >= 0.08 and site_pages >= 12
+    # what looks like a title is repeated with other figures in it: that tells nothing
+    x[10] = rate if site_pages >= 4 and not title_like else 0
+    x[11] = rate >= 0.2 and site_pages >= 5 and not title_like
+    x[12] = rate >= 0.08 and site_pages >= 12 and not title_like
     x[13] = site_pages < 4
     x[14] = math.log1p(sites) / 3
     x[15] = title_like
@@ -123,27 +130,40 @@ def shape(line: str, no: int, lines: int, rate: float, site_pages: int, sites: i
     x[22] = s[:1].islower()
     x[23] = s.count("·") + s.count("»") + s.count("|") >= 2 and not any(c.isdigit() for c in s)
     x[24] = rate * site_pages < 1.5
+    x[25] = 0 if title_like else 1 - 1 / max(1.0, rate * site_pages)  # repetition by count, whatever the size of the site
     return x
 
 
 def weak_label(x: np.ndarray) -> int:
     """1 boilerplate, 0 own text, -1 unknown: lines whose look or frequency leaves no doubt."""
-    if x[3] or x[4] or x[5] or x[6]:
+    if x[3] or x[4] or x[5] or x[6] or x[7] == 2 and x[1] < 1.5:
         return 1
     if x[11] and not x[15] and not x[19]:
         return 1
-    if x[16] or x[19] or x[18] and x[10] < 0.05:
+    if x[16] or x[19] or x[18] and x[10] < 0.05 and x[25] < 0.7:
         return 0
-    if x[2] and x[1] > 0.6 and (x[24] or x[10] < 0.05) and not x[7]:
+    if x[2] and x[1] > 0.6 and x[24] and not x[7]:
         return 0
     if x[15] and not x[7] and x[8]:
         return 0
     return -1
 
 
-def train(lines: list[tuple[np.ndarray, set[int]]], seed: int = 7) -> np.ndarray:
-    """Weights of a logistic classifier over SHAPES + WORDS features, from weakly labelled lines."""
-    kept = [(x, w, y) for x, w in lines if (y := weak_label(x)) >= 0]
+def weak_labels(feats: list[np.ndarray], kind: list[str]) -> list[int]:
+    """The weak labels of a page's lines: items in a row under the heading of a list are boilerplate like it; one that stands
+    alone above a sentence or list of the page's own is a heading of its text."""
+    found, listed = [], False
+    for a, (x, k) in enumerate(zip(feats, kind)):
+        listed = k == "head" or listed and k == "item"
+        alone = k == "item" and not x[7] and kind[a - 1 : a] != ["item"] and kind[a + 1 : a + 2] == [""]
+        below = feats[a + 1] if alone else x
+        found.append(1 if listed else 0 if alone and (below[2] or below[18]) and weak_label(below) == 0 else weak_label(x))
+    return found
+
+
+def train(lines: list[tuple[np.ndarray, set[int], int]], seed: int = 7) -> np.ndarray:
+    """Weights of a logistic classifier over SHAPES + WORDS features, from weakly labelled lines (features, words, label)."""
+    kept = [(x, w, y) for x, w, y in lines if y >= 0]
     weights = np.zeros(SHAPES + WORDS, np.float64)
     if len({y for *_, y in kept}) < 2:
         return weights
@@ -167,16 +187,16 @@ def train(lines: list[tuple[np.ndarray, set[int]]], seed: int = 7) -> np.ndarray
     return weights
 
 
-def settled(x: np.ndarray) -> float | None:
-    """The cost of a line whose shape decides, whatever its words."""
+def rules(x: np.ndarray) -> float:
+    """What the rules add to the classifier's log-odds of a line: between -2.5 and 4."""
     if x[3] or x[4] or x[5] or x[6]:
-        return 5.0
+        return 4.0
     if x[16] or x[19]:
         return -2.5
     if x[18] == 2 and not x[7] and not x[11]:
         return -2.0
     if x[2] and x[1] > 0.6 and not x[7] and (x[24] or x[12] == 0 and x[10] < 0.05):
-        return -2.0  # a whole sentence that the site does not repeat
+        return -1.5 * (1 - float(x[25]))  # a whole sentence: the more pages repeat it, the less its look says
     if x[2] and x[1] > 0.2 and x[14] > 0.73 and x[10] < 0.35 and not x[7]:
         return -1.0  # many sites say it, none on most of its pages
     if x[7] and x[1] < 1.5:
@@ -184,19 +204,20 @@ def settled(x: np.ndarray) -> float | None:
     if x[22] and x[21] and not x[15] and not x[2] and not x[17]:
         return -0.8  # a few words in lower case: an item of the page's own lists
     if x[15] or x[24] and x[1] < 0.8 and not x[2] and not x[17]:
-        return -0.3  # like an item of a list or a heading: the neighbours decide
-    return None
+        return -0.3  # like an item of a list or a heading
+    return 1.5 if x[11] else 0.0
 
 
-def cost(x: np.ndarray, line: str, weights: np.ndarray) -> float:
-    """Log-odds of boilerplate: what the shape settles, else what the classifier says of shape and words."""
-    known = settled(x)
-    if known is not None:
-        return known
+def learned(x: np.ndarray, line: str, weights: np.ndarray) -> float:
+    """The classifier's log-odds of boilerplate, from shape and words, within three."""
     words = _words(line)
-    learned = float(x @ weights[:SHAPES] + sum(weights[SHAPES + c] for c in words) / math.sqrt(max(1, len(words))))
-    learned = max(-3.0, min(3.0, learned))
-    return max(1.5, learned) if x[11] else learned
+    z = float(x @ weights[:SHAPES]) + sum(weights[[SHAPES + c for c in words]].tolist()) / math.sqrt(max(1, len(words)))
+    return max(-3.0, min(3.0, z))
+
+
+def cost(x: np.ndarray, line: str, weights: np.ndarray) -> float:
+    """Log-odds of boilerplate: what the classifier says and what the rules add."""
+    return learned(x, line, weights) + rules(x)
 
 
 def min_cut(unary: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
@@ -274,14 +295,9 @@ def _max_flow(part: list[int], u: list[float], near: list[dict[int, float]]) ->
 def label_page(body: str, title: str | None, facts: dict[int, tuple[float, int, int, bool]], weights: np.ndarray) -> dict[int, bool]:
     """Line number (from 1) → whether the line is boilerplate, for all lines that are not blank."""
     lines = body.split("\n")
-    nodes = [i for i, line in enumerate(lines) if line.strip()]
-    feats = [_features(lines, i, title, facts.get(i + 1, (0.0, 1, 1, False))) for i in nodes]
-    first = True
-    for x in feats:  # a page's name stands above its text once; again it is an item of a list
-        x[16], first = x[16] and first, first and not x[16]
+    nodes, feats, kind = _page(lines, title, facts)
     unary = [cost(x, lines[i], weights) for i, x in zip(nodes, feats)]
     edges: dict[tuple[int, int], float] = {}
-    kind = [_kind(lines[i], x) for i, x in zip(nodes, feats)]
     for a in range(len(nodes) - 1):
         b = a + 1
         gap = nodes[b] - nodes[a] > 1
@@ -305,6 +321,16 @@ def label_page(body: str, title: str | None, facts: dict[int, tuple[float, int,
     return {i + 1: side for i, side in zip(nodes, min_cut(unary, edges))}
 
 
+def _page(lines: list[str], title: str | None, facts: dict[int, tuple[float, int, int, bool]]) -> tuple[list[int], list[np.ndarray], list[str]]:
+    """Indices of the lines that are not blank, their features and kinds."""
+    nodes = [i for i, line in enumerate(lines) if line.strip()]
+    feats = [_features(lines, i, title, facts.get(i + 1, (0.0, 1, 1, False))) for i in nodes]
+    first = True
+    for x in feats:  # a page's name stands above its text once; again it is an item of a list
+        x[16], first = x[16] and first, first and not x[16]
+    return nodes, feats, [_kind(lines[i], x) for i, x in zip(nodes, feats)]
+
+
 def _kind(line: str, x: np.ndarray) -> str:
     if x[4]:
         return "head"
@@ -376,7 +402,8 @@ def label_lines(df: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
     lines = []
     for r in sample.select(short.alias("lines"), "title", F.slice("facts", 1, 500).alias("facts")).collect():
         facts = {f["line_no"]: (f["rate"], f["site_pages"], f["sites"], f["title_like"]) for f in r["facts"]}
-        lines += [(_features(r["lines"], i, r["title"], facts.get(i + 1, (0.0, 1, 1, False))), _words(s)) for i, s in enumerate(r["lines"]) if s.strip()]
+        nodes, feats, kind = _page(r["lines"], r["title"], facts)
+        lines += [(x, _words(r["lines"][i]), y) for i, x, y in zip(nodes, feats, weak_labels(feats, kind))]
     weights = train(lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -103,6 +103,20 @@ def test_boilerplate_page(spark):
     assert boilerplate.label_lines(df.limit(0)).count() == 0
 
 
+def test_costs_contain_the_classifier():
+    rng = np.random.RandomState(3)
+    sure = rng.normal(size=boilerplate.SHAPES + boilerplate.WORDS) * 0.1
+    own = "The kettle was moved to the harbour because the wooden drill had failed and nobody came."
+    for line in ("We use cookies to improve this site.", own, "Recent posts", "What is the difference between a drill and…", "A short line", "few small words", "1. some flour"):
+        x = boilerplate.shape(line, 9, 40, 0.01, 300, 1, False, False)
+        learned = [boilerplate.learned(x, line, w) for w in (sure, -sure)]
+        costs = [boilerplate.cost(x, line, w) for w in (sure, -sure)]
+        assert learned[0] != learned[1] and abs((costs[0] - costs[1]) - (learned[0] - learned[1])) < 1e-6
+    # a sentence on 1 % of a large site's pages is repeated all the same, and teaches nothing
+    once, often = (boilerplate.shape(own, 9, 40, n / 10_000, 10_000, 1, False, False) for n in (1, 100))
+    assert boilerplate.rules(once) < boilerplate.rules(often) - 1 and boilerplate.weak_label(once) == 0 and boilerplate.weak_label(often) == -1
+
+
 # --- 4 neighbours --------------------------------------------------------------------------------------------------------
 
 
