@@ -66,6 +66,11 @@ OWN_LIST = re.compile(r"^\s*(\d{1,3}[.)]|[-*•–])\s+\S")
 TABLE_ROW = re.compile(r"^[^|]+( \| [^|]+){1,8}$")
 HAN = re.compile(r"[぀-鿿]")
 
+#: Of a line: rate, site_pages, share, title_like, usual.
+Facts = tuple[float, int, float, bool, float]
+NO_FACTS: Facts = (0.0, 1, 0.0, False, 0.0)
+FACTS = ("rate", "site_pages", "share", "title_like", "usual")
+
 
 def template(line: str) -> str:
     return re.sub(r"[0-9]+", "9", line.strip())
@@ -92,10 +97,12 @@ def is_menu(line: str) -> bool:
     return len(parts) >= 3 and known >= 2 and max(map(len, parts)) <= 24 or len(parts) == 1 and known == 1
 
 
-SHAPES = 26
+SHAPES = 27
 
 
-def shape(line: str, no: int, lines: int, rate: float, site_pages: int, sites: int, title_like: bool, own_title: bool) -> np.ndarray:
+def shape(line: str, no: int, lines: int, rate: float, site_pages: int, share: float, title_like: bool, own_title: bool, usual: float = 0.0) -> np.ndarray:
+    """Features of a line. Of all sites, ``share`` carry it, on ``usual`` of their pages taken together; neither grows with
+    the collection as a number of sites would."""
     s = line.strip()
     words = s.split()
     x = np.zeros(SHAPES, np.float32)
@@ -116,7 +123,7 @@ def shape(line: str, no: int, lines: int, rate: float, site_pages: int, sites: i
     x[11] = rate >= 0.2 and site_pages >= 5 and not title_like
     x[12] = rate >= 0.08 and site_pages >= 12 and not title_like
     x[13] = site_pages < 4
-    x[14] = math.log1p(sites) / 3
+    x[14] = share
     x[15] = title_like
     x[16] = own_title
     x[17] = len(words) == 1 and s[:1].isupper() and s.isalpha()
@@ -131,6 +138,7 @@ def shape(line: str, no: int, lines: int, rate: float, site_pages: int, sites: i
     x[23] = s.count("·") + s.count("»") + s.count("|") >= 2 and not any(c.isdigit() for c in s)
     x[24] = rate * site_pages < 1.5
     x[25] = 0 if title_like else 1 - 1 / max(1.0, rate * site_pages)  # repetition by count, whatever the size of the site
+    x[26] = usual if not title_like else 0
     return x
 
 
@@ -197,8 +205,8 @@ def rules(x: np.ndarray) -> float:
         return -2.0
     if x[2] and x[1] > 0.6 and not x[7] and (x[24] or x[12] == 0 and x[10] < 0.05):
         return -1.5 * (1 - float(x[25]))  # a whole sentence: the more pages repeat it, the less its look says
-    if x[2] and x[1] > 0.2 and x[14] > 0.73 and x[10] < 0.35 and not x[7]:
-        return -1.0  # many sites say it, none on most of its pages
+    if x[2] and x[1] > 0.2 and not x[7] and not x[11]:
+        return -min(1.0, 4 * float(x[14])) * max(0.0, 1 - 3 * float(x[26]))  # the more sites say it, each on few of its pages
     if x[7] and x[1] < 1.5:
         return 2.5 if x[7] == 2 else 1.0
     if x[22] and x[21] and not x[15] and not x[2] and not x[17]:
@@ -292,7 +300,7 @@ def _max_flow(part: list[int], u: list[float], near: list[dict[int, float]]) ->
             cap[b][a] += flow
 
 
-def label_page(body: str, title: str | None, facts: dict[int, tuple[float, int, int, bool]], weights: np.ndarray) -> dict[int, bool]:
+def label_page(body: str, title: str | None, facts: dict[int, Facts], weights: np.ndarray) -> dict[int, bool]:
     """Line number (from 1) → whether the line is boilerplate, for all lines that are not blank."""
     lines = body.split("\n")
     nodes, feats, kind = _page(lines, title, facts)
@@ -321,10 +329,10 @@ def label_page(body: str, title: str | None, facts: dict[int, tuple[float, int,
     return {i + 1: side for i, side in zip(nodes, min_cut(unary, edges))}
 
 
-def _page(lines: list[str], title: str | None, facts: dict[int, tuple[float, int, int, bool]]) -> tuple[list[int], list[np.ndarray], list[str]]:
+def _page(lines: list[str], title: str | None, facts: dict[int, Facts]) -> tuple[list[int], list[np.ndarray], list[str]]:
     """Indices of the lines that are not blank, their features and kinds."""
     nodes = [i for i, line in enumerate(lines) if line.strip()]
-    feats = [_features(lines, i, title, facts.get(i + 1, (0.0, 1, 1, False))) for i in nodes]
+    feats = [_features(lines, i, title, facts.get(i + 1, NO_FACTS)) for i in nodes]
     first = True
     for x in feats:  # a page's name stands above its text once; again it is an item of a list
         x[16], first = x[16] and first, first and not x[16]
@@ -347,12 +355,12 @@ def _kind(line: str, x: np.ndarray) -> str:
     return ""
 
 
-def _features(lines: list[str], i: int, title: str | None, facts: tuple[float, int, int, bool]) -> np.ndarray:
-    rate, site_pages, sites, title_like = facts
+def _features(lines: list[str], i: int, title: str | None, facts: Facts) -> np.ndarray:
+    rate, site_pages, share, title_like, usual = facts
     s = lines[i].strip()
     # titles often carry the name of the site behind the page's own
     own = bool(title) and (s == title.strip() or len(s) > 3 and title.startswith(s) and len(title) - len(s) < 40)
-    return shape(lines[i], i, len(lines), rate, site_pages, sites, title_like, own)
+    return shape(lines[i], i, len(lines), rate, site_pages, share, title_like, own, usual)
 
 
 def _pages(df: DataFrame) -> DataFrame:
@@ -363,9 +371,10 @@ def _pages(df: DataFrame) -> DataFrame:
 
 
 def _line_facts(pages: DataFrame) -> DataFrame:
-    """(id, facts array<struct<line_no, rate, site_pages, sites, title_like>>): for each line that is not blank, the share
-    of its site's pages that carry it (figures made equal), the pages of the site, the number of sites that carry it, and
-    whether it has the form of a page title of the collection. Counted over all pages; only hashes travel."""
+    """(id, facts array<struct<line_no, rate, site_pages, share, title_like, usual>>): for each line that is not blank, the
+    share of its site's pages that carry it (figures made equal), the pages of the site, the share of all sites that carry
+    it, whether it has the form of a page title of the collection, and the share of the pages of those sites that carry it. Counted over all pages; only hashes
+    travel."""
     form = lambda c: F.regexp_replace(F.trim(c), "[0-9]+", "9")
     # of a title's form the names and model numbers are left out too
     pattern = lambda c: F.xxhash64(F.regexp_replace(form(c), r"(?<=\s)\p{Lu}[\p{L}\p{M}9-]*", "X"))
@@ -374,15 +383,17 @@ def _line_facts(pages: DataFrame) -> DataFrame:
     lines = cut(lines)
     per_site = lines.select("site", "form", "id").distinct().groupBy("site", "form").agg(F.count(F.lit(1)).alias("n"))
     site_pages = pages.groupBy("site").agg(F.count(F.lit(1)).alias("site_pages"))
-    per_form = per_site.groupBy("form").agg(F.count(F.lit(1)).alias("sites"))
+    rated = per_site.join(site_pages, "site").withColumn("rate", F.col("n") / F.col("site_pages"))
+    per_form = rated.groupBy("form").agg(F.count(F.lit(1)).alias("sites"), (F.sum("n") / F.sum("site_pages")).alias("usual"))
+    all_sites = F.broadcast(site_pages.agg(F.count(F.lit(1)).alias("all_sites")))
+    per_form = per_form.crossJoin(all_sites).select("form", (F.col("sites") / F.col("all_sites")).alias("share"), "usual")
     # the page's own name is what stands before the site's
     own = F.regexp_replace("title", r"\s+(\||-|–|—|::|·|»)\s+[^|–—:·»-]{1,60}$", "")
     titles = pages.where("title is not null").select(pattern(own).alias("pattern")).distinct().withColumn("title_like", F.lit(True))
     patterns = lines.groupBy("pattern").agg(F.lit(1).alias("one")).join(titles, "pattern").select("pattern", "title_like")
-    counted = per_site.join(site_pages, "site").join(per_form, "form")
-    counted = counted.select("site", "form", (F.col("n") / F.col("site_pages")).alias("rate"), "site_pages", "sites")
+    counted = rated.join(per_form, "form").select("site", "form", "rate", "site_pages", "share", "usual")
     met = lines.join(counted, ["site", "form"]).join(patterns, "pattern", "left").withColumn("title_like", F.coalesce("title_like", F.lit(False)))
-    return met.groupBy("id").agg(F.collect_list(F.struct("line_no", "rate", "site_pages", "sites", "title_like")).alias("facts"))
+    return met.groupBy("id").agg(F.collect_list(F.struct("line_no", *FACTS)).alias("facts"))
 
 
 def label_lines(df: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
@@ -401,7 +412,7 @@ def label_lines(df: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
     short = F.transform(F.slice(F.split("body", "\n"), 1, 500), lambda x: F.substring(x, 1, TRAIN_CHARS))
     lines = []
     for r in sample.select(short.alias("lines"), "title", F.slice("facts", 1, 500).alias("facts")).collect():
-        facts = {f["line_no"]: (f["rate"], f["site_pages"], f["sites"], f["title_like"]) for f in r["facts"]}
+        facts = {f["line_no"]: tuple(f[c] for c in FACTS) for f in r["facts"]}
         nodes, feats, kind = _page(r["lines"], r["title"], facts)
         lines += [(x, _words(r["lines"][i]), y) for i, x, y in zip(nodes, feats, weak_labels(feats, kind))]
     weights = train(lines)
@@ -412,7 +423,7 @@ def label_lines(df: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
                 part = batch.slice(at, 256)
                 rows_, no, text, own = [], [], [], []
                 for k, (body, title, facts) in enumerate(zip(*(part.column(c).to_pylist() for c in (1, 2, 3)))):
-                    known = {f["line_no"]: (f["rate"], f["site_pages"], f["sites"], f["title_like"]) for f in facts}
+                    known = {f["line_no"]: tuple(f[c] for c in FACTS) for f in facts}
                     split = body.split("\n")
                     for i, side in label_page(body, title, known, weights).items():
                         rows_.append(k)

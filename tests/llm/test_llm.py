@@ -117,6 +117,20 @@ def test_costs_contain_the_classifier():
     assert boilerplate.rules(once) < boilerplate.rules(often) - 1 and boilerplate.weak_label(once) == 0 and boilerplate.weak_label(often) == -1
 
 
+def test_shared_lines_do_not_depend_on_the_number_of_sites(spark):
+    notice = "Our partner offers a discount on winter tyres this month."
+
+    def lines(sites):
+        # a quarter of the sites carry the notice, on three of ten pages each
+        rows = [(f"{s}-{p}", f"https://s{s}.example/{p}", None, f"page {'abcdefghij'[p]} of site {s} itself\n" + (notice if s % 4 == 0 and p < 3 else f"nothing {'abcdefghij'[p]} {s}"), None) for s in range(sites) for p in range(10)]
+        return spark.createDataFrame(rows, "id string, url string, title string, body string, crawl_ts timestamp")
+
+    few, many = ({tuple(f[c] for c in boilerplate.FACTS) for f in boilerplate._line_facts(boilerplate._pages(lines(n))).where("id = '0-0'").first()["facts"] if f["line_no"] == 2} for n in (4, 40))
+    assert few == many == {(0.3, 10, 0.25, False, 0.3)}
+    rare, common = (boilerplate.shape(notice, 5, 40, 0.25, 3, share, False, False, 0.4) for share in (0.01, 0.9))
+    assert boilerplate.rules(rare) == boilerplate.rules(common) == 0
+
+
 # --- 4 neighbours --------------------------------------------------------------------------------------------------------
 
 
