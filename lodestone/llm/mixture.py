@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,6 +15,8 @@ from lodestone.session import cut
 
 #: Tokens that the dynamic programme fills at most; the rest of a budget is taken in proportion over all lengths.
 GAP = 1 << 16
+#: The programme's memory and time grow with its tokens: it is widened for long documents to so many at most.
+WIDEST = 1 << 20
 
 
 def source_name(source: F.Column) -> F.Column:
@@ -53,11 +57,13 @@ def reachable_total(targets: list[tuple[str, float, int]], have: dict[str, int],
     return int(total)
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int = GAP) -> np.ndarray:
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int = GAP, seed: int = 0) -> np.ndarray:
     """How many documents of each length to take so that their tokens reach ``budget`` or the nearest sum below.
 
-    The bulk is taken in equal proportion from all lengths; the last ``gap`` tokens at most are filled exactly by a
-    bounded-knapsack programme over the remaining documents (each length's stock split into powers of two).
+    The bulk is taken in equal proportion from all lengths, long ones first, so that the proportion of the others makes up
+    for how these fell; fractions of a document are rounded by ``seed``. At most the last ``gap`` tokens (more where a
+    document left is longer, up to WIDEST) are filled exactly by a bounded-knapsack programme over the remaining documents
+    in seeded order (each length's stock split into powers of two).
     """
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     total = int((lengths * counts).sum())
@@ -65,22 +71,57 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int =
         return counts.copy()
     if budget <= 0:
         return np.zeros_like(counts)
-    # integers of any size: budgets may exceed 2^53
-    take = np.array([int(c) * max(0, budget - gap // 2) // total for c in counts.tolist()], np.int64)
-    left = budget - int((take * lengths).sum())
-    for i in np.argsort(-lengths):
+    rng = np.random.default_rng(seed)
+    gap = max(gap, min(int(lengths[counts > 0].max()), WIDEST))
+    take, left = np.zeros_like(counts), budget
+    for part in (lengths > gap // 8, lengths <= gap // 8):
+        have = int((lengths * counts)[part].sum())
+        # what the parts not yet taken from hold: their proportion is one
+        bulk = max(0, left - gap // 2)
+        _rounded(lengths, counts, np.flatnonzero(part), bulk, total, take, rng)
+        left = budget - int((take * lengths).sum())
+        total -= have
+    spare = rng.permutation(np.repeat(np.arange(len(counts)), np.minimum(counts - take, 1 + max(left, 0) // np.maximum(1, lengths)))) if left > gap or left < 0 else []
+    for i in spare:
         if left <= gap:
             break
-        more = min(int(counts[i] - take[i]), (left - gap // 2) // int(lengths[i]))
-        if more > 0:
-            take[i] += more
-            left -= more * int(lengths[i])
+        if lengths[i] <= left - gap // 2 and take[i] < counts[i]:
+            take[i] += 1
+            left -= int(lengths[i])
+    for i in rng.permutation(np.repeat(np.arange(len(counts)), take)) if left < 0 else []:
+        if left >= 0:
+            break
+        take[i] -= 1
+        left += int(lengths[i])
+    fitted = _filled(lengths, counts, take, left, gap, rng)
+    if budget <= gap and int((fitted * lengths).sum()) < budget:  # the programme can hold the whole of it
+        return _filled(lengths, counts, np.zeros_like(counts), budget, gap, rng)
+    return fitted
+
+
+def _rounded(lengths: np.ndarray, counts: np.ndarray, where: np.ndarray, bulk: int, total: int, take: np.ndarray, rng: np.random.Generator) -> None:
+    """Sets ``take`` at ``where`` to counts * bulk / total, rounded so that each expects its exact proportion: fractions
+    are carried along the lengths, sorted but shuffled in runs of 16, so that the sum of tokens strays little."""
+    where = where[np.argsort(-lengths[where], kind="stable")]
+    order = [i for at in range(0, len(where), 16) for i in rng.permutation(where[at : at + 16]).tolist()]
+    # integers of any size: budgets may exceed 2^53
+    carry = int(rng.integers(0, 1 << 62)) * total >> 62
+    for i in order:
+        take[i], rest = divmod(int(counts[i]) * min(bulk, total), max(1, total))
+        carry += rest
+        if carry >= total:
+            carry -= total
+            take[i] += take[i] < counts[i]
+
+
+def _filled(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, left: int, gap: int, rng: np.random.Generator) -> np.ndarray:
+    take = take.copy()
     cap = min(left, max(gap, 1))
     first = np.full(cap + 1, -1, np.int32)
     reach = np.zeros(cap + 1, bool)
     reach[0] = True
     items: list[tuple[int, int]] = []
-    for i in np.argsort(-lengths):
+    for i in rng.permutation(len(lengths)):
         stock, size = int(min(counts[i] - take[i], cap // max(1, lengths[i]))), 1
         while stock > 0 and not reach[cap]:
             n = min(size, stock)
@@ -92,6 +133,8 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int =
                 items.append((int(i), n))
             stock -= n
             size *= 2
+        if reach[cap]:
+            break
     at = int(np.flatnonzero(reach)[-1])
     while at > 0:
         i, n = items[first[at]]
@@ -108,7 +151,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total_tokens: int | None =
     reach their share: a larger mix would be further from the targets, a smaller one would waste documents. A source
     whose documents, each used ``max_repeats`` times, fall short of its share gives all it can, and the others fill the
     total in proportion to their shares. Every document is used k or k + 1 times, k being equal within a source; which
-    ones are used once more is decided by budget fitting on exact lengths and then by a seeded hash. Documents with a null
+    ones are used once more is decided by seeded budget fitting on exact lengths and then by a seeded hash. Documents with a null
     id, null or unknown source, or without tokens have no place in the mix; sources without documents are reported with
     share 0. Of repeated target rows of one source the one with the largest share holds. ``targets`` is a configuration
     table: it is read on the driver, and more than 10,000 sources raise an error.
@@ -135,7 +178,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total_tokens: int | None =
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n_tokens")
-        n = fit_budget(pdf["n_tokens"].to_numpy(), pdf["docs"].to_numpy(), int(pdf["rest"].iloc[0]))
+        n = fit_budget(pdf["n_tokens"].to_numpy(), pdf["docs"].to_numpy(), int(pdf["rest"].iloc[0]), seed=zlib.crc32(f"{seed} {pdf['source'].iloc[0]}".encode()))
         return pd.DataFrame({"source": pdf["source"], "n_tokens": pdf["n_tokens"], "n": n})
 
     # a group is a histogram: one row for each distinct length of a source, however many documents there are

@@ -332,6 +332,23 @@ def test_budget_fit_is_best(stock, budget, gap):
         assert got == max(s for s in sums if s <= budget)
 
 
+def test_budget_fit_is_in_proportion():
+    rng = np.random.RandomState(5)
+    lengths = np.unique((60 * (1 / rng.random_sample(900)) ** 0.8).astype(int).clip(20, 40_000) + np.arange(900))
+    counts = np.ones_like(lengths)
+    for part in (0.2, 0.4, 0.7):
+        budget = int(lengths.sum() * part)
+        drawn = [mixture.fit_budget(lengths, counts, budget, seed=k) for k in range(30)]
+        assert all(int((t * lengths).sum()) == budget for t in drawn)
+        by_tenth = [np.mean([t[k] for t in drawn]) for k in np.array_split(np.arange(len(lengths)), 10)]
+        assert max(by_tenth) - min(by_tenth) < 0.2 and abs(np.mean(by_tenth) - part) < 0.1
+        assert len({tuple(t) for t in drawn}) == 30
+    again = mixture.fit_budget(lengths, counts, budget, seed=3)
+    assert (again == drawn[3]).all()
+    # documents longer than the gap, and budgets around them
+    assert int((mixture.fit_budget(np.array([70_000, 90_000]), np.array([1, 1]), 95_000) * [70_000, 90_000]).sum()) == 90_000
+
+
 def test_shares():
     goal = [("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 1)]
     assert mixture.share_budgets(1000, goal, {"a": 10_000, "b": 5000, "c": 5000}) == {"a": 500, "b": 300, "c": 200}
