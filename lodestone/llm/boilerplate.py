@@ -373,26 +373,33 @@ def _pages(df: DataFrame) -> DataFrame:
 def _line_facts(pages: DataFrame) -> DataFrame:
     """(id, facts array<struct<line_no, rate, site_pages, share, title_like, usual>>): for each line that is not blank, the
     share of its site's pages that carry it (figures made equal), the pages of the site, the share of all sites that carry
-    it, whether it has the form of a page title of the collection, and the share of the pages of those sites that carry it. Counted over all pages; only hashes
-    travel."""
+    it, whether it has the form of a page title of the collection, and the share of the pages of those sites that carry it.
+    A page whose site is not known takes rate and pages from the site of five pages or more where the line's rate is
+    largest, of those that carry it more than once; a line that no such site carries counts as on a page by itself. Counted over all pages; only hashes travel."""
     form = lambda c: F.regexp_replace(F.trim(c), "[0-9]+", "9")
     # of a title's form the names and model numbers are left out too
     pattern = lambda c: F.xxhash64(F.regexp_replace(form(c), r"(?<=\s)\p{Lu}[\p{L}\p{M}9-]*", "X"))
     lines = pages.select("id", "site", F.posexplode(F.split("body", "\n")).alias("pos", "line")).where("trim(line) != ''")
     lines = lines.select("id", "site", (F.col("pos") + 1).alias("line_no"), F.xxhash64(form(F.col("line"))).alias("form"), pattern(F.col("line")).alias("pattern"))
     lines = cut(lines)
-    per_site = lines.select("site", "form", "id").distinct().groupBy("site", "form").agg(F.count(F.lit(1)).alias("n"))
-    site_pages = pages.groupBy("site").agg(F.count(F.lit(1)).alias("site_pages"))
+    known = F.col("site") != ""
+    per_site = lines.where(known).select("site", "form", "id").distinct().groupBy("site", "form").agg(F.count(F.lit(1)).alias("n"))
+    site_pages = pages.where(known).groupBy("site").agg(F.count(F.lit(1)).alias("site_pages"))
     rated = per_site.join(site_pages, "site").withColumn("rate", F.col("n") / F.col("site_pages"))
-    per_form = rated.groupBy("form").agg(F.count(F.lit(1)).alias("sites"), (F.sum("n") / F.sum("site_pages")).alias("usual"))
+    largest = F.max(F.when((F.col("site_pages") >= 5) & (F.col("n") >= 2), F.struct("rate", "site_pages"))).alias("largest")
+    per_form = rated.groupBy("form").agg(F.count(F.lit(1)).alias("sites"), (F.sum("n") / F.sum("site_pages")).alias("usual"), largest)
     all_sites = F.broadcast(site_pages.agg(F.count(F.lit(1)).alias("all_sites")))
-    per_form = per_form.crossJoin(all_sites).select("form", (F.col("sites") / F.col("all_sites")).alias("share"), "usual")
+    per_form = cut(per_form.crossJoin(all_sites).select("form", (F.col("sites") / F.col("all_sites")).alias("share"), "usual", "largest"))
     # the page's own name is what stands before the site's
     own = F.regexp_replace("title", r"\s+(\||-|–|—|::|·|»)\s+[^|–—:·»-]{1,60}$", "")
     titles = pages.where("title is not null").select(pattern(own).alias("pattern")).distinct().withColumn("title_like", F.lit(True))
     patterns = lines.groupBy("pattern").agg(F.lit(1).alias("one")).join(titles, "pattern").select("pattern", "title_like")
     counted = rated.join(per_form, "form").select("site", "form", "rate", "site_pages", "share", "usual")
-    met = lines.join(counted, ["site", "form"]).join(patterns, "pattern", "left").withColumn("title_like", F.coalesce("title_like", F.lit(False)))
+    facts = ["id", "line_no", "pattern", "rate", "site_pages", "share", "usual"]
+    nowhere = lines.where(~known).join(per_form, "form", "left")
+    nowhere = nowhere.withColumns({"rate": F.coalesce("largest.rate", F.lit(0.0)), "site_pages": F.coalesce("largest.site_pages", F.lit(1)).cast("bigint"), "share": F.coalesce("share", F.lit(0.0)), "usual": F.coalesce("usual", F.lit(0.0))})
+    met = lines.where(known).join(counted, ["site", "form"]).select(*facts).unionAll(nowhere.select(*facts))
+    met = met.join(patterns, "pattern", "left").withColumn("title_like", F.coalesce("title_like", F.lit(False)))
     return met.groupBy("id").agg(F.collect_list(F.struct("line_no", *FACTS)).alias("facts"))
 
 
@@ -400,7 +407,7 @@ def label_lines(df: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
     """(id, line_no, line, own) of every line that is not blank, of the latest record of every id.
 
     ``own`` tells whether the line belongs to the page's own text. Lines are parted by newlines and numbered from 1, blank
-    ones too. Null and blank bodies give no row; null urls count as one site; rows with a null id are left out. The
+    ones too. Null and blank bodies give no row; pages without a site in their url belong to none; rows with a null id are left out. The
     classifier is trained on about ``train_pages`` pages (never more than twice as many), chosen by hash of the id;
     everything else sees all pages.
     """

@@ -131,6 +131,16 @@ def test_shared_lines_do_not_depend_on_the_number_of_sites(spark):
     assert boilerplate.rules(rare) == boilerplate.rules(common) == 0
 
 
+def test_pages_without_url_take_the_rates_of_known_sites(spark):
+    rows = [(f"a{p}", f"https://a.example/{p}", None, "Skillets\nOur depot in the old harbour is closed on all Mondays in winter.\n" + f"own text {'abcdefghij'[p]}", None) for p in range(10)]
+    rows += [(f"n{k}", None, None, ("Skillets\n" if k == 0 else "") + f"A wholly different sentence about {'abcdefgh'[k % 8] * (k // 8 + 1)} was written here by somebody with patience.", None) for k in range(60)]
+    df = spark.createDataFrame(rows, "id string, url string, title string, body string, crawl_ts timestamp")
+    facts = {(r.id, f["line_no"]): (f["rate"], f["site_pages"], f["share"]) for r in boilerplate._line_facts(boilerplate._pages(df)).collect() for f in r.facts}
+    assert facts["n0", 1] == facts["a0", 1] == (1.0, 10, 1.0) and facts["n0", 2] == (0.0, 1, 0.0) and len(facts) == 91
+    own = {(r.id, r.line_no): r.own for r in boilerplate.label_lines(df).collect()}
+    assert not own["n0", 1] and not own["a0", 1] and own["n0", 2] and all(own[f"n{k}", 1] for k in range(1, 60))
+
+
 # --- 4 neighbours --------------------------------------------------------------------------------------------------------
 
 
