@@ -94,6 +94,7 @@ class _Block:
         self.text, self.low, self.high = text, low, high
         part = text[low:high]
         self.no_capitals = part == part.lower() and part != part.upper()
+        self.last_close: dict[str, int] = {}
         self.last = {c: part.rfind(c) + low for c in {*PAIRS.values(), *ASCII_QUOTES} if c in part}
 
     def after(self, at: int) -> int:
@@ -332,12 +333,12 @@ class _Block:
         """Whether a closing mark for the ASCII quote at ``at`` follows in the block."""
         if c == '"':
             return self.last.get(c, -1) > at
-        i = self.text.find(c, at + 1, min(self.high, at + 400))
-        while i >= 0:
-            if self.closes(c, i) and not self.text[i - 1].isspace():
-                return True
-            i = self.text.find(c, i + 1, min(self.high, at + 400))
-        return False
+        if c not in self.last_close:
+            i = self.text.rfind(c, self.low, self.high)
+            while i >= 0 and not (self.closes(c, i) and i > self.low and not self.text[i - 1].isspace()):
+                i = self.text.rfind(c, self.low, i)
+            self.last_close[c] = i
+        return self.last_close[c] > at
 
 
 def sentences(text: str) -> list[tuple[int, int]]:

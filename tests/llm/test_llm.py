@@ -434,3 +434,9 @@ def test_sentence_table(spark):
     got = sentences.sentence_spans(df, "doc_id", "text").collect()
     assert {r.doc_id for r in got} == {1, 5, 6} and [r.sentence for r in got if r.doc_id == 1] == ["A bee.", "C dee."]
     assert sentences.sentence_spans(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_long_single_quotation_is_one_sentence():
+    inner = " ".join(["The pump broke down again and nobody in town came to look at it."] * 12)
+    text = f"'{inner}' They left."
+    assert len(inner) > 400 and [text[a:b] for a, b in sentences.sentences(text)] == [f"'{inner}'", "They left."]
