@@ -32,16 +32,30 @@ def hot_keys(df: DataFrame, keys: list[str]) -> list[tuple]:
     return [tuple(r) for r in big.where(F.col("__rows") > share).collect()]
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, right_unique: bool = True, how: str = "inner") -> DataFrame:
+def hot_of_counts(counts: DataFrame, key: str, rows: str) -> list:
+    """The keys of a table of counts (each key once) with more than 1/HOT_KEYS of all rows and more than HOT_FLOOR rows: as
+    ``hot_keys``, where the counts are there anyway. At most HOT_KEYS values."""
+    total = counts.agg(F.sum(rows)).first()[0] or 0
+    if total <= HOT_FLOOR:
+        return []
+    big = counts.where(F.col(key).isNotNull() & (F.col(rows) > max(HOT_FLOOR, total / HOT_KEYS)))
+    return [r[0] for r in big.select(key).collect()]
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
     """Equi-join of a large ``left`` with ``right`` on one key that may be hot in ``left``.
 
     ``right`` holds each key once. Rows of ``left`` with a hot key meet a broadcast of the at most HOT_KEYS matching
     rows of ``right``; all other rows take an ordinary shuffled join. Rows with a null key match nothing
-    (``how`` is inner or left).
+    (``how`` is inner or left). ``hot`` gives the hot keys, at most HOT_KEYS, where they are known (an empty list: none);
+    else ``left`` is counted.
     """
     if how not in ("inner", "left"):
         raise ValueError("how is inner or left")
-    hot = [k for k, _ in hot_keys(left, [key])]
+    if hot is None:
+        hot = [k for k, _ in hot_keys(left, [key])]
+    if len(hot) > HOT_KEYS:
+        raise ValueError("too many hot keys")
     if not hot:
         return left.join(right, key, how)
     is_hot = F.col(key).isin(hot)
