@@ -2,13 +2,15 @@
 
 A linear classifier, trained here on weakly labelled lines of a bounded sample of pages, gives each line a log-odds of being
 boilerplate; it sees the line's words, its shape, and how many pages of its site carry the same line, counted over all
-pages. These costs are the terminal capacities of a graph whose smoothness edges join neighbouring lines: weakly across
-the page, strongly where lines look like items of one list. The minimum cut labels the lines.
+pages. These log-odds alone are the terminal capacities of a graph whose smoothness edges join neighbouring lines: weakly
+across the page, strongly where lines look like items of one list. The minimum cut labels the lines.
+
+The word lists below label lines of the training sample only (and the headings among them tell where a list begins); they
+take no part in the cost of a line. All lines of a batch of pages are scored together, as arrays.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections import deque
@@ -17,37 +19,44 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.skew import hot_of_counts, join_hot
 from lodestone.session import cut
 
-#: Pages of the training sample, and characters of a line that training looks at: bounds of the sample, not of labelling.
+#: Pages of the training sample: a bound of the sample, not of labelling.
 TRAIN_PAGES = 2000
-TRAIN_CHARS = 300
 #: Buckets of hashed words.
-WORDS = 2048
+WORDS = 1 << 13
+#: Steps of the training.
+STEPS = 150
+#: Weight in training of titles in lists of other pages against that of headings.
+LISTED = 0.85
+#: The log-odds of a line are held within this.
+SURE = 6.0
 #: Capacities of edges: between any neighbours, between lines two apart in a block, inside a list, over a blank line.
 NEAR, NEXT_BUT_ONE, LIST, GAP = 0.35, 0.15, 5.0, 0.2
+#: Pages that are scored together; bounds a worker's memory.
+TOGETHER = 512
 
 # --- fixed values: what the parts of a page around its text say, in six languages ---------------------------------------
-LIST_HEADS = re.compile(
-    r"^(recent posts|most read.*|most popular.*|don[’']t miss|people also ask|you may also like|you might also like|related (articles|posts|pages|questions|stories)|in this section|more from .{1,60}|popular on .{1,60}|trending.{0,30}|latest (news|posts|articles)|see also|read next|recommended.{0,30}"
+LIST_HEADS = (
+    r"(?i)^(recent posts|most read.*|most popular.*|don[’']t miss|people also ask|you may also like|you might also like|related (articles|posts|pages|questions|stories)|in this section|more from .{1,60}|popular on .{1,60}|trending.{0,30}|latest (news|posts|articles)|see also|read next|recommended.{0,30}"
     r"|das könnte sie auch interessieren|mehr zum thema|ähnliche artikel|meistgelesen|weitere artikel|lesen sie auch|à lire aussi|articles (liés|similaires|récents)|les plus lus|sur le même sujet|artículos relacionados|te puede interesar|lo más leído|también te puede.*|más leídos"
-    r"|читайте также|похожие (статьи|материалы)|популярное|相关文章|推荐阅读|热门文章|猜你喜欢|最新文章)\s*:?$",
-    re.I,
+    r"|читайте также|похожие (статьи|материалы)|популярное|相关文章|推荐阅读|热门文章|猜你喜欢|最新文章)\s*:?$"
 )
-NOTICES = re.compile(
-    r"(we use cookies|cookie settings|uses? cookies|needs cookies|cookies? (policy|to (make|remember|improve))|small text files help|storing of small files|keeps track of your visit|data policy|your privacy matters|we care about your data|store data on your device|partners store|you agree to|by staying here you accept"
-    r"|^get a (free )?quote|^see today[’']s .{1,60} deals|deals »$|^copyright (©|\(c\)|\d)|terms of use \||sign up for (our|the)|subscribe to our|enter your e-?mail|^join [\d,.]+ readers|no spam|download our (free )?app|get (our|the) (free )?app|live chat|story continues|continue reading below|^advertisement$|^sponsored|^ad$"
+NOTICES = (
+    r"(?i)(we use cookies|cookie settings|uses? cookies|needs cookies|cookies? (policy|to (make|remember|improve))|small text files help|storing of small files|data policy|your privacy matters|we care about your data|store data on your device|partners store|you agree to|by staying here you accept"
+    r"|^get a (free )?quote|deals »$|^copyright (©|\(c\)|\d)|terms of use \||sign up for (our|the)|subscribe to our|enter your e-?mail|no spam|download our (free )?app|get (our|the) (free )?app|live chat|story continues|continue reading below|^advertisement$|^sponsored|^ad$"
     r"|rate this (answer|page|article)|found this helpful|was this (useful|helpful)|share this (page|post|article)|^follow us|tweet it|pin it|report this (post|page|answer)|log ?in to (post|reply|comment|vote)|^tags?: |^filed under |^posted in |^categor(y|ies): |text size|^copy link$|^(like|share|save|print|tweet|accept|reject|more options|functional|analytics|necessary|marketing|statistics|menu|back to top|skip to (main )?content|toggle navigation|search|close|ok|no thanks)$"
-    r"|^page \d+ of \d+|^[\d,.]+ (comments?|replies|answers?|views|shares)$|previous\b.*\bnext\b|^©|^\(c\) \d|all rights reserved|all trademarks belong|powered by .+ cms|made with .+ since \d|part of the .+ family of sites|terms · privacy|privacy · |site ?map$|^reg\. no\.|opening times:|^last (edited|updated) |general information only and does not replace"
+    r"|^page \d+ of \d+|^[\d,.]+ (comments?|replies|answers?|views|shares)$|previous\b.*\bnext\b|^©|^\(c\) \d|all rights reserved|all trademarks belong|powered by .+ cms|terms · privacy|privacy · |site ?map$|^last (edited|updated) |general information only and does not replace"
     r"|diese seite speichert|ablehnen\.?$|datenschutz ·|· datenschutz|^impressum|nach oben$|^teilen ·|^anzeige$|bitte anmelden|alle rechte vorbehalten|wir verwenden cookies|newsletter"
     r"|dépôt de traceurs|mentions légales|^partager ·|^publicité$|connectez-vous|tous droits réservés|nous utilisons des cookies|haut de page"
     r"|acepta nuestra política|aviso legal|^compartir ·|^publicidad$|inicie sesión|todos los derechos reservados|volver arriba|usamos cookies"
     r"|соглашаетесь с правилами|все права защищены|^реклама$|войдите, чтобы|^поделиться|карта сайта|наверх$|конфиденциальность ·"
-    r"|使用条款|隐私政策|版权所有|登录后|^分享|改善体验|接受全部|^广告$|返回顶部|网站地图)",
-    re.I,
+    r"|使用条款|隐私政策|版权所有|登录后|^分享|改善体验|接受全部|^广告$|返回顶部|网站地图)"
 )
 MENU_WORDS = {*(
     "home contact about us news blog shop events search help forum guides topics gallery deals careers downloads faq register login log in my account products services jobs archive categories support sitemap "
@@ -57,37 +66,193 @@ MENU_WORDS = {*(
 ).split()}
 # -----------------------------------------------------------------------------------------------------------------------
 
-CRUMBS = re.compile(r"^\s*(home|start|startseite|accueil|inicio|главная|首页|index)\s*(>|»|›|/|::|→)", re.I)
-CUT_OFF = re.compile(r"(…|\.\.\.|\[…\]|\[\.\.\.\]|(…|\.\.\.)\s*(read more|more|weiterlesen|lire la suite|leer más|далее|阅读更多|更多)\.?)\s*$", re.I)
-INNER_STOP = re.compile(r"[^.\s]{2}[.!?][\"”’»)]*\s+\S|…\s*\S|[。！？].")
+CRUMBS = r"(?i)^[^>»›→:]{1,40}\s(>|»|›|→|::)\s.{1,80}$|^(home|start|startseite|accueil|inicio|главная|首页|index)\s*(>|»|›|/|::|→)"
+LEADS_ON = r"(?i)(\[…\]|\[\.\.\.\]|(…|\.\.\.)\s*(read more|more|weiterlesen|lire la suite|leer más|далее|阅读更多|更多)\.?)\s*$"
+BREAKS_OFF = r"(…|\.\.\.)\s*$"
+INNER_STOP = r"[^.\s]{2}[.!?][\"”’»)]*\s+\S|…\s*\S|[。！？]."
 PARTED = re.compile(r"\s+[|/·•]\s+|\s{2,}| [–-] ")
-ENDED = re.compile(r"[.!?。！？…:;][\"”’»)\]」]*\s*$")
-OWN_LIST = re.compile(r"^\s*(\d{1,3}[.)]|[-*•–])\s+\S")
-TABLE_ROW = re.compile(r"^[^|]+( \| [^|]+){1,8}$")
+MENU_SHAPE = r"^[^|/·•]{1,28}?((\s+[|/·•]\s+|\s{2,}| [–-] )[^|/·•]{1,28}?){2,}$"
+ENDED = r"[.!?。！？…:;][\"”’»)\]」]*\s*$"
+OWN_LIST = r"^(\d{1,3}[.)]|[-*•–])\s+\S"
+OWN_LIST_WORDS = r"^(\d{1,3}[.)]|[-*•–])\s+(\p{Ll}|.*\d)"
+TABLE_ROW = r"^[^|]*\d[^|]*( \| [^|]+){1,8}$|^[^|]+( \| [^|]+){0,7} \| [^|]*\d[^|]*( \| [^|]+){0,7}$"
 HAN = re.compile(r"[぀-鿿]")
 
 #: Of a line: rate, site_pages, share, title_like, usual.
-Facts = tuple[float, int, float, bool, float]
-NO_FACTS: Facts = (0.0, 1, 0.0, False, 0.0)
 FACTS = ("rate", "site_pages", "share", "title_like", "usual")
-
-
-def template(line: str) -> str:
-    return re.sub(r"[0-9]+", "9", line.strip())
-
-
-def _words(line: str) -> set[int]:
-    low = template(line).lower()
-    parts = re.findall(r"[^\W_]+|[^\w\s]", low)
-    if HAN.search(low):
-        parts += [low[i : i + 2] for i in range(len(low) - 1)]
-    grams = [*parts, *(a + " " + b for a, b in zip(parts, parts[1:])), "^" + " ".join(parts[:2]), "$" + " ".join(parts[-2:])]
-    return {_bucket(g) for g in grams}
-
-
-@lru_cache(maxsize=1 << 16)
-def _bucket(gram: str) -> int:
-    return zlib.crc32(gram.encode()) % WORDS
+#: Shape features of a line, by name.
+SHAPE = (
+    "one", "length", "ended", "crumbs", "menu", "breaks_off", "leads_on", "top", "bottom", "rate", "frequent", "somewhat", "small_site", "share", "title_like", "own_title", "capital_word", "own_list", "own_list_words",
+    "table_row", "long", "few_words", "lower", "labels", "once", "repeated", "usual", "sentence_once", "sentence_repeated", "short_sentence", "few_lower", "said_widely", "short_break", "sentence_frequent", "plain_once",
+)
+AT = {name: i for i, name in enumerate(SHAPE)}
+HEAD, ITEM, LABEL = 1, 2, 3
+
+
+class Lines:
+    """The lines of some pages that are not blank, as arrays: page, no (from 1), text, shape features, kinds."""
+
+    def __init__(self, bodies: pa.Array, titles: pa.Array, facts: pa.Array) -> None:
+        split = pc.split_pattern(bodies, "\n")
+        every = pc.utf8_trim_whitespace(split.flatten())
+        starts = split.offsets.to_numpy() - split.offsets[0].as_py()
+        page = np.repeat(np.arange(len(split)), np.diff(starts))
+        no = np.arange(len(every)) - starts[page] + 1
+        total = np.diff(starts)[page] if len(page) else page
+        keep = pc.not_equal(every, "").to_numpy(zero_copy_only=False)
+        self.text = every.filter(pa.array(keep))
+        self.page, self.no, total = page[keep], no[keep], total[keep]
+        known = [np.zeros(len(every)), np.ones(len(every)), np.zeros(len(every)), np.zeros(len(every)), np.zeros(len(every))]
+        if len(facts):
+            at = starts[pc.list_parent_indices(facts).to_numpy(zero_copy_only=False)] + (rows := facts.flatten()).field("line_no").to_numpy(zero_copy_only=False) - 1
+            for values, name in zip(known, FACTS):
+                values[at] = rows.field(name).to_numpy(zero_copy_only=False)
+        self._shapes(total, titles, *(v[keep] for v in known))
+
+    def _has(self, pattern: str) -> np.ndarray:
+        return pc.match_substring_regex(self.text, pattern).to_numpy(zero_copy_only=False)
+
+    def _shapes(self, total: np.ndarray, titles: pa.Array, rate: np.ndarray, site_pages: np.ndarray, share: np.ndarray, title_like: np.ndarray, usual: np.ndarray) -> None:
+        text, n = self.text, len(self.text)
+        size = pc.utf8_length(text).to_numpy(zero_copy_only=False)
+        words = pc.count_substring_regex(text, r"\S+").to_numpy(zero_copy_only=False)
+        title_like = title_like.astype(bool)
+        ended, leads = self._has(ENDED), self._has(LEADS_ON)
+        # several sentences with an ellipsis at the end are a paragraph, unless it leads on
+        off = self._has(BREAKS_OFF) & ~leads
+        off[off] = ~pc.match_substring_regex(text.filter(pa.array(off)), INNER_STOP).to_numpy(zero_copy_only=False)
+        digits = self._has(r"\d")
+        # titles often carry the name of the site behind the page's own; a page's name stands above its text once
+        names = [t.strip() if t else "" for t in titles.to_pylist()]
+        lines = text.to_pylist()
+        own = np.zeros(n, bool)
+        for i, (p, s) in enumerate(zip(self.page.tolist(), lines)):
+            t = names[p]
+            if t and t.startswith(s) and (len(t) == len(s) or len(s) > 3 and len(t) - len(s) < 40):
+                own[i] = True
+        hits = np.flatnonzero(own)
+        own[:] = False
+        own[hits[np.unique(self.page[hits], return_index=True)[1]]] = True
+        listed, listed_words = self._has(OWN_LIST), self._has(OWN_LIST_WORDS)
+        table = self._has(TABLE_ROW) & (words > 2)
+        lower = self._has(r"^\p{Ll}")
+        marks = pc.count_substring_regex(text, r"[·»|]").to_numpy(zero_copy_only=False)
+        capital = self._has(r"^\p{Lu}\p{L}*$") | self._has(r"^[\p{Lo}]{1,8}$")
+        often = rate * site_pages
+        once = often < 1.5
+        repeated = np.where(title_like, 0, 1 - 1 / np.maximum(1.0, often))  # by count, whatever the size of the site
+        # what looks like a title is repeated with other figures in it: that tells nothing
+        frequent = (rate >= 0.2) & (site_pages >= 5) & ~title_like
+        cut_off = off | leads
+        sentence = ended & (size > 60) & ~cut_off
+        usual = np.where(title_like, 0, usual)
+        f = dict.fromkeys(SHAPE)
+        f |= {"one": np.ones(n), "length": np.minimum(size, 400) / 100, "ended": ended, "crumbs": self._has(CRUMBS), "menu": self._has(MENU_SHAPE) & ~table, "breaks_off": off, "leads_on": leads}
+        f |= {"top": self.no <= 4, "bottom": total - self.no <= 4, "rate": np.where((site_pages >= 4) & ~title_like, rate, 0), "frequent": frequent, "somewhat": (rate >= 0.08) & (site_pages >= 12) & ~title_like}
+        f |= {"small_site": site_pages < 4, "share": share, "title_like": title_like, "own_title": own, "capital_word": capital, "own_list": listed & ~listed_words, "own_list_words": listed_words & ~cut_off & ~frequent}
+        f |= {"table_row": table, "long": size > 120, "few_words": words <= 4, "lower": lower, "labels": (marks >= 2) & ~digits, "once": once, "repeated": repeated, "usual": usual}
+        f |= {"sentence_once": sentence & (once | ~f["somewhat"] & (f["rate"] < 0.05)), "sentence_repeated": sentence * repeated, "short_sentence": ended & (size > 20) & ~cut_off & ~frequent}
+        f |= {"few_lower": lower & (words <= 4) & ~title_like & ~ended, "said_widely": (ended & (size > 20) & ~cut_off & ~frequent) * np.minimum(1, 4 * share) * np.maximum(0, 1 - 3 * usual)}
+        f |= {"short_break": cut_off & (size < 150), "sentence_frequent": ended & frequent, "plain_once": once & (size < 80) & ~ended & ~capital}
+        self.head = self._has(LIST_HEADS)
+        self.kind = np.zeros(n, np.int8)
+        plain = ~(f["crumbs"] | table | listed | own)
+        east = np.fromiter((bool(HAN.search(s)) for s in lines), bool, n) if n else np.zeros(0, bool)
+        # a heading's shape: a few words, not a sentence
+        item = plain & (cut_off | title_like | (size < 80) & ~ended & ((words >= 4) | (size >= 4) & east))
+        self.kind[plain & ~item & (capital | f["menu"] & (words <= 4))] = LABEL
+        self.kind[item] = ITEM
+        self.kind[self.head] = HEAD
+        # what stands by itself above a sentence or a list of the page's own is a heading
+        item = self.kind == ITEM
+        before = np.zeros(n, bool)
+        before[1:] = item[:-1] & (self.page[1:] == self.page[:-1])
+        above = np.zeros(n, bool)
+        above[:-1] = (self.page[1:] == self.page[:-1]) & ((sentence | ended & (size > 20)) & ~frequent | listed_words)[1:]
+        self.alone, self.plain = item & ~cut_off & ~before & above, item & ~cut_off & ~frequent
+        self.x = np.stack([np.asarray(f[k], np.float32) for k in SHAPE], 1) if n else np.zeros((0, len(SHAPE)), np.float32)
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """(line, bucket) of every word, every two neighbouring words, and the two at either end; figures are made equal."""
+        low = pc.utf8_lower(pc.replace_substring_regex(self.text, r"[0-9]+", "9"))
+        lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.replace_substring_regex(low, r"([^\p{L}\p{M}\p{N}\s])", r" \1 ")))
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        line = np.repeat(np.arange(len(lists)), np.diff(offsets))
+        words = coded.dictionary.to_pylist()
+        h = np.array([_hash(w) for w in words], np.int64)[code] if len(code) else np.zeros(0, np.int64)
+        parts = [(line, h % WORDS)]
+        if len(h) > 1:
+            inside = line[1:] == line[:-1]
+            pair = (h[:-1] * 1_000_003 + h[1:]) % 2_147_483_647
+            parts.append((line[:-1][inside], pair[inside] % WORDS))
+            first, last = offsets[:-1], offsets[1:] - 1
+            some = last > first
+            rows = np.flatnonzero(some)
+            parts += [(rows, (pair[first[some] - offsets[0]] * 31 + 7) % WORDS), (rows, (pair[last[some] - offsets[0] - 1] * 37 + 11) % WORDS)]
+        east = {i: w for i, w in enumerate(words) if len(w) > 1 and HAN.search(w)}
+        if east:
+            # scripts without spaces: every two neighbouring characters
+            buckets = {i: [_hash(w[k : k + 2]) % WORDS for k in range(len(w) - 1)] for i, w in east.items()}
+            at = np.flatnonzero(np.isin(code, np.fromiter(east, np.int64)))
+            parts.append((np.repeat(line[at], [len(buckets[c]) for c in code[at].tolist()]), np.array([b for c in code[at].tolist() for b in buckets[c]], np.int64)))
+        return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+
+    def log_odds(self, weights: np.ndarray) -> np.ndarray:
+        """The classifier's log-odds of boilerplate of every line, from shape and words."""
+        n = len(self.text)
+        line, bucket = self.grams()
+        said = np.bincount(line, weights[len(SHAPE) + bucket], minlength=n) / np.sqrt(np.maximum(1, np.bincount(line, minlength=n)))
+        return np.clip(self.x @ weights[: len(SHAPE)] + said, -SURE, SURE)
+
+    def edges(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The smoothness edges (a, b, capacity) between lines of one page."""
+        n, page, no, kind = len(self.text), self.page, self.no, self.kind
+        a = np.flatnonzero(page[1:] == page[:-1]) if n else np.zeros(0, np.int64)
+        gap = no[a + 1] - no[a] > 1
+        same = (kind[a + 1] == ITEM) & ((kind[a] == ITEM) | (kind[a] == HEAD)) | (kind[a] == LABEL) & (kind[a + 1] == LABEL)
+        w = np.where(same, LIST, np.where(gap, GAP, NEAR))
+        c = np.flatnonzero((page[2:] == page[:-2]) & (no[2:] - no[:-2] == 2)) if n > 2 else np.zeros(0, np.int64)
+        far = []
+        for h in np.flatnonzero(kind == HEAD).tolist():
+            # a list may have a notice between its head and its first item
+            i = h + 1
+            while i < n and page[i] == page[h] and kind[i] not in (HEAD, ITEM) and u[i] >= 2:
+                i += 1
+            if h + 1 < i < n and page[i] == page[h] and kind[i] == ITEM:
+                far.append((h, i))
+        heads = np.array(far, np.int64).reshape(-1, 2)
+        ends = lambda k: np.concatenate([a + k, c + 2 * k, heads[:, k]])
+        return ends(0), ends(1), np.concatenate([w, np.full(len(c), NEXT_BUT_ONE), np.full(len(heads), LIST)])
+
+    def weak_labels(self) -> np.ndarray:
+        """1 boilerplate, 0 own text, -1 unknown: lines whose look, words or frequency leave no doubt. Items in a row under the
+        heading of a list are boilerplate like it; one that stands alone above a sentence or list of the page's own is a
+        heading of its text."""
+        x = lambda name: self.x[:, AT[name]]
+        has = lambda name: x(name) > 0
+        menu = np.fromiter((is_menu(s) for s in self.text.to_pylist()), bool, len(self.text))
+        y = np.full(len(self.text), -1)
+        # the later lines hold over those before
+        y[has("few_lower") & has("once")] = 0
+        y[has("title_like") & has("top") & ~has("short_break")] = 0
+        y[has("ended") & (x("length") > 0.6) & has("once") & ~has("breaks_off") & ~has("leads_on")] = 0
+        y[has("own_list_words") & (x("rate") < 0.05) & (x("repeated") < 0.7)] = 0
+        y[has("table_row") | has("own_title")] = 0
+        y[has("frequent") & ~has("table_row") & ~has("own_title")] = 1
+        y[has("short_break")] = 1
+        y[self._has(NOTICES) | self.head | menu | has("crumbs") & ~has("ended")] = 1
+        kind, page, found = self.kind, self.page, y.copy()
+        listed = False
+        for i in range(len(y)):
+            same = i > 0 and page[i] == page[i - 1]
+            listed = kind[i] == HEAD or listed and same and kind[i] == ITEM
+            if listed:
+                found[i] = 1
+            elif self.alone[i] and y[i] != 1 and y[i + 1] == 0:
+                found[i] = 0
+        return found
 
 
 def is_menu(line: str) -> bool:
@@ -97,277 +262,164 @@ def is_menu(line: str) -> bool:
     return len(parts) >= 3 and known >= 2 and max(map(len, parts)) <= 24 or len(parts) == 1 and known == 1
 
 
-SHAPES = 27
+@lru_cache(maxsize=1 << 17)
+def _hash(gram: str) -> int:
+    return zlib.crc32(gram.encode()) & 0x7FFFFFFF
 
 
-def shape(line: str, no: int, lines: int, rate: float, site_pages: int, share: float, title_like: bool, own_title: bool, usual: float = 0.0) -> np.ndarray:
-    """Features of a line. Of all sites, ``share`` carry it, on ``usual`` of their pages taken together; neither grows with
-    the collection as a number of sites would."""
-    s = line.strip()
-    words = s.split()
-    x = np.zeros(SHAPES, np.float32)
-    x[0] = 1
-    x[1] = min(len(s), 400) / 100
-    x[2] = bool(ENDED.search(s))
-    x[3] = bool(NOTICES.search(s))
-    x[4] = bool(LIST_HEADS.match(s))
-    x[5] = is_menu(s)
-    x[6] = bool(CRUMBS.match(s))
-    if m := CUT_OFF.search(s):
-        # several sentences with an ellipsis at the end are a paragraph, unless it leads on
-        x[7] = 2 if len(m[1]) > 3 or "[" in m[1] else 0 if INNER_STOP.search(s) else 1
-    x[8] = no < 4
-    x[9] = lines - no <= 5
-    # what looks like a title is repeated with other figures in it: that tells nothing
-    x[10] = rate if site_pages >= 4 and not title_like else 0
-    x[11] = rate >= 0.2 and site_pages >= 5 and not title_like
-    x[12] = rate >= 0.08 and site_pages >= 12 and not title_like
-    x[13] = site_pages < 4
-    x[14] = share
-    x[15] = title_like
-    x[16] = own_title
-    x[17] = len(words) == 1 and s[:1].isupper() and s.isalpha()
-    if m := OWN_LIST.match(s):
-        # the site's own lists name its parts by a capital word or two
-        rest = s[m.end() - 1 :]
-        x[18] = 2 if rest[:1].islower() or any(c.isdigit() for c in rest) else 1
-    x[19] = bool(TABLE_ROW.match(s)) and any(c.isdigit() for c in s)
-    x[20] = len(s) > 120
-    x[21] = len(words) <= 4
-    x[22] = s[:1].islower()
-    x[23] = s.count("·") + s.count("»") + s.count("|") >= 2 and not any(c.isdigit() for c in s)
-    x[24] = rate * site_pages < 1.5
-    x[25] = 0 if title_like else 1 - 1 / max(1.0, rate * site_pages)  # repetition by count, whatever the size of the site
-    x[26] = usual if not title_like else 0
-    return x
-
-
-def weak_label(x: np.ndarray) -> int:
-    """1 boilerplate, 0 own text, -1 unknown: lines whose look or frequency leaves no doubt."""
-    if x[3] or x[4] or x[5] or x[6] or x[7] == 2 and x[1] < 1.5:
-        return 1
-    if x[11] and not x[15] and not x[19]:
-        return 1
-    if x[16] or x[19] or x[18] and x[10] < 0.05 and x[25] < 0.7:
-        return 0
-    if x[2] and x[1] > 0.6 and x[24] and not x[7]:
-        return 0
-    if x[15] and not x[7] and x[8]:
-        return 0
-    return -1
-
-
-def weak_labels(feats: list[np.ndarray], kind: list[str]) -> list[int]:
-    """The weak labels of a page's lines: items in a row under the heading of a list are boilerplate like it; one that stands
-    alone above a sentence or list of the page's own is a heading of its text."""
-    found, listed = [], False
-    for a, (x, k) in enumerate(zip(feats, kind)):
-        listed = k == "head" or listed and k == "item"
-        alone = k == "item" and not x[7] and kind[a - 1 : a] != ["item"] and kind[a + 1 : a + 2] == [""]
-        below = feats[a + 1] if alone else x
-        found.append(1 if listed else 0 if alone and (below[2] or below[18]) and weak_label(below) == 0 else weak_label(x))
-    return found
-
-
-def train(lines: list[tuple[np.ndarray, set[int], int]], seed: int = 7) -> np.ndarray:
-    """Weights of a logistic classifier over SHAPES + WORDS features, from weakly labelled lines (features, words, label)."""
-    kept = [(x, w, y) for x, w, y in lines if y >= 0]
-    weights = np.zeros(SHAPES + WORDS, np.float64)
-    if len({y for *_, y in kept}) < 2:
+def train(x: np.ndarray, y: np.ndarray, plain: np.ndarray, rows: np.ndarray, cols: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Weights of a logistic classifier over shape and word features, from labelled lines: shapes, labels, whether the line is
+    ``plain``, and the (row, bucket) pairs of the words. All zero where one of the labels is missing.
+
+    Headings and the titles in lists of other pages read alike, and only their place tells them apart: such plain lines of
+    both labels are given nearly equal weight, so that their place in the graph decides."""
+    n, shapes = len(y), x.shape[1]
+    weights = np.zeros(shapes + WORDS)
+    if not 0 < y.sum() < n:
         return weights
     rng = np.random.RandomState(seed)
-    y = np.array([v for *_, v in kept], np.float64)
-    dense = np.stack([x for x, *_ in kept]).astype(np.float64)
     # the words must not only repeat what the shapes say: shapes are dropped at random
-    dense = dense * (rng.random_sample(dense.shape) > 0.5)
+    dense = (x * (rng.random_sample(x.shape) > 0.3)).astype(np.float64)
     dense[:, 0] = 1
-    rows = np.repeat(np.arange(len(kept)), [len(w) for _, w, _ in kept])
-    cols = np.fromiter((c for _, w, _ in kept for c in w), np.int64)
-    scale = 1 / np.sqrt(np.maximum(1, np.bincount(rows, minlength=len(kept))))
-    balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    scale = 1 / np.sqrt(np.maximum(1, np.bincount(rows, minlength=n)))
+    balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / n
+    if 0 < y[plain].sum() < plain.sum():
+        balance[plain & (y == 1)] *= LISTED * balance[plain & (y == 0)].sum() / balance[plain & (y == 1)].sum()
     square = np.full(len(weights), 1e-8)
-    for _ in range(300):
-        z = dense @ weights[:SHAPES] + np.bincount(rows, weights[SHAPES + cols], minlength=len(kept)) * scale
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * balance / len(kept)
-        grad = np.concatenate([dense.T @ err, np.bincount(cols, (err * scale)[rows], minlength=WORDS)]) + 1e-4 * weights
+    scaled = scale[rows]
+    for _ in range(STEPS):
+        z = dense @ weights[:shapes] + np.bincount(rows, weights[shapes + cols], minlength=n) * scale
+        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * balance
+        grad = np.concatenate([dense.T @ err, np.bincount(cols, err[rows] * scaled, minlength=WORDS)]) + 1e-5 * weights
         square += grad * grad
-        weights -= 0.15 * grad / np.sqrt(square)
+        weights -= 0.3 * grad / np.sqrt(square)
     return weights
 
 
-def rules(x: np.ndarray) -> float:
-    """What the rules add to the classifier's log-odds of a line: between -2.5 and 4."""
-    if x[3] or x[4] or x[5] or x[6]:
-        return 4.0
-    if x[16] or x[19]:
-        return -2.5
-    if x[18] == 2 and not x[7] and not x[11]:
-        return -2.0
-    if x[2] and x[1] > 0.6 and not x[7] and (x[24] or x[12] == 0 and x[10] < 0.05):
-        return -1.5 * (1 - float(x[25]))  # a whole sentence: the more pages repeat it, the less its look says
-    if x[2] and x[1] > 0.2 and not x[7] and not x[11]:
-        return -min(1.0, 4 * float(x[14])) * max(0.0, 1 - 3 * float(x[26]))  # the more sites say it, each on few of its pages
-    if x[7] and x[1] < 1.5:
-        return 2.5 if x[7] == 2 else 1.0
-    if x[22] and x[21] and not x[15] and not x[2] and not x[17]:
-        return -0.8  # a few words in lower case: an item of the page's own lists
-    if x[15] or x[24] and x[1] < 0.8 and not x[2] and not x[17]:
-        return -0.3  # like an item of a list or a heading
-    return 1.5 if x[11] else 0.0
-
-
-def learned(x: np.ndarray, line: str, weights: np.ndarray) -> float:
-    """The classifier's log-odds of boilerplate, from shape and words, within three."""
-    words = _words(line)
-    z = float(x @ weights[:SHAPES]) + sum(weights[[SHAPES + c for c in words]].tolist()) / math.sqrt(max(1, len(words)))
-    return max(-3.0, min(3.0, z))
-
-
-def cost(x: np.ndarray, line: str, weights: np.ndarray) -> float:
-    """Log-odds of boilerplate: what the classifier says and what the rules add."""
-    return learned(x, line, weights) + rules(x)
-
-
-def min_cut(unary: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
+def cut_graph(u: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Labels (True: source side, boilerplate) that minimise the costs of labels plus the capacities of cut edges.
 
-    ``unary`` is the cost of own text less that of boilerplate. Nodes whose cost outweighs all their edges are settled
-    first and pass their edges on as costs, which is exact; max-flow by shortest augmenting paths settles the rest.
+    ``u`` is the cost of own text less that of boilerplate; edges (a, b) have capacity w >= 0. Nodes whose cost outweighs all
+    their edges are settled first and pass their edges on as costs, which is exact, some rounds of it over all nodes at
+    once; max-flow settles what is left.
     """
+    u, n = u.astype(np.float64).copy(), len(u)
+    label, open_ = np.zeros(n, bool), np.ones(n, bool)
+    for _ in range(16):
+        weight = np.bincount(a, w, n) + np.bincount(b, w, n)
+        now = open_ & (np.abs(u) >= weight)
+        if not now.any():
+            break
+        label[now] = u[now] > 0
+        open_ &= ~now
+        for p, q in ((a, b), (b, a)):
+            e = now[p] & open_[q]
+            u += np.bincount(q[e], np.where(label[p[e]], w[e], -w[e]), n)
+        keep = open_[a] & open_[b]
+        a, b, w = a[keep], b[keep], w[keep]
+    left = np.flatnonzero(open_)
+    if len(left):
+        at = np.full(n, -1)
+        at[left] = np.arange(len(left))
+        label[left] = min_cut(u[left].tolist(), {}, zip(at[a].tolist(), at[b].tolist(), w.tolist()))
+    return label
+
+
+def min_cut(unary: list[float], edges: dict[tuple[int, int], float], more: Iterator[tuple[int, int, float]] = ()) -> list[bool]:
+    """``cut_graph`` for few nodes. Two exact reductions shrink the graph: a node that outweighs its edges is settled, and a
+    node with one edge that outweighs all else about it joins the node there. Max-flow labels the rest."""
     n = len(unary)
     u = list(unary)
     near: list[dict[int, float]] = [{} for _ in range(n)]
-    for (a, b), w in edges.items():
-        near[a][b] = near[a].get(b, 0) + w
-        near[b][a] = near[b].get(a, 0) + w
+    for x, y, c in (*((p, q, c) for (p, q), c in edges.items()), *more):
+        if x != y:
+            near[x][y] = near[x].get(y, 0.0) + c
+            near[y][x] = near[y].get(x, 0.0) + c
     label: list[bool | None] = [None] * n
+    joined: list[tuple[int, int]] = []
+    gone = [False] * n
     queue = deque(range(n))
     while queue:
         i = queue.popleft()
-        if label[i] is not None or abs(u[i]) < sum(near[i].values()):
+        if gone[i]:
+            continue
+        weight = sum(near[i].values())
+        if abs(u[i]) >= weight:
+            label[i], gone[i] = u[i] > 0, True
+            for j, c in near[i].items():
+                u[j] += c if label[i] else -c
+                del near[j][i]
+                queue.append(j)
             continue
-        label[i] = u[i] > 0
-        for j, w in near[i].items():
-            u[j] += w if label[i] else -w
+        j, c = max(near[i].items(), key=lambda e: e[1])
+        if 2 * c >= abs(u[i]) + weight:
+            joined.append((i, j))
+            gone[i] = True
+            u[j] += u[i]
             del near[j][i]
+            for k, d in near[i].items():
+                if k != j:
+                    del near[k][i]
+                    near[j][k] = near[j].get(k, 0.0) + d
+                    near[k][j] = near[k].get(j, 0.0) + d
+                    queue.append(k)
             queue.append(j)
-        near[i] = {}
-    seen = [x is not None for x in label]
-    for i in range(n):
-        if seen[i]:
-            continue
-        part, todo = [], [i]
-        seen[i] = True
-        while todo:
-            a = todo.pop()
-            part.append(a)
-            for b in near[a]:
-                if not seen[b]:
-                    seen[b] = True
-                    todo.append(b)
-        for a, side in _max_flow(part, u, near).items():
-            label[a] = side
+    for a, side in _max_flow([i for i in range(n) if not gone[i]], u, near).items():
+        label[a] = side
+    for i, j in reversed(joined):
+        label[i] = label[j]
     return [bool(x) for x in label]
 
 
-def _max_flow(part: list[int], u: list[float], near: list[dict[int, float]]) -> dict[int, bool]:
-    source, sink = -1, -2
-    cap: dict[int, dict[int, float]] = {a: dict(near[a]) for a in part}
-    cap[source], cap[sink] = {}, {}
-    for a in part:
-        if u[a] > 0:
-            cap[source][a], cap[a][source] = u[a], 0.0
-        else:
-            cap[a][sink], cap[sink][a] = -u[a], 0.0
-    while True:
-        before: dict[int, int] = {source: source}
-        queue = deque([source])
-        while queue and sink not in before:
-            a = queue.popleft()
-            for b, c in cap[a].items():
-                if c > 1e-9 and b not in before:
-                    before[b] = a
-                    queue.append(b)
-        if sink not in before:
-            return {a: a in before for a in part}
-        path, b = [], sink
-        while b != source:
-            path.append((before[b], b))
-            b = before[b]
-        flow = min(cap[a][b] for a, b in path)
-        for a, b in path:
-            cap[a][b] -= flow
-            cap[b][a] += flow
-
-
-def label_page(body: str, title: str | None, facts: dict[int, Facts], weights: np.ndarray) -> dict[int, bool]:
-    """Line number (from 1) → whether the line is boilerplate, for all lines that are not blank."""
-    lines = body.split("\n")
-    nodes, feats, kind = _page(lines, title, facts)
-    unary = [cost(x, lines[i], weights) for i, x in zip(nodes, feats)]
-    edges: dict[tuple[int, int], float] = {}
-    for a in range(len(nodes) - 1):
-        b = a + 1
-        gap = nodes[b] - nodes[a] > 1
-        w = GAP if gap else NEAR
-        if kind[a] in ("head", "item") and kind[b] == "item" or kind[a] == kind[b] == "label":
-            w = LIST
-        edges[a, b] = w
-        if b + 1 < len(nodes) and nodes[b + 1] - nodes[a] == 2 and not gap:
-            edges[a, b + 1] = NEXT_BUT_ONE
-    # a list may have a notice between its head and its first item
-    head = None
-    for a, k in enumerate(kind):
-        if k == "head":
-            head = a
-        elif k == "item":
-            if head is not None and a - head > 1:
-                edges[head, a] = LIST
-            head = None
-        elif unary[a] < 4:
-            head = None
-    return {i + 1: side for i, side in zip(nodes, min_cut(unary, edges))}
-
-
-def _page(lines: list[str], title: str | None, facts: dict[int, Facts]) -> tuple[list[int], list[np.ndarray], list[str]]:
-    """Indices of the lines that are not blank, their features and kinds."""
-    nodes = [i for i, line in enumerate(lines) if line.strip()]
-    feats = [_features(lines, i, title, facts.get(i + 1, NO_FACTS)) for i in nodes]
-    first = True
-    for x in feats:  # a page's name stands above its text once; again it is an item of a list
-        x[16], first = x[16] and first, first and not x[16]
-    return nodes, feats, [_kind(lines[i], x) for i, x in zip(nodes, feats)]
-
-
-def _kind(line: str, x: np.ndarray) -> str:
-    if x[4]:
-        return "head"
-    if x[3] or x[6]:
-        return ""
-    if x[19] or x[18] or x[16]:
-        return ""
-    s = line.strip()
-    # a heading's shape: a few words, not a sentence
-    if x[7] or x[15] or len(s) < 80 and not x[2] and (len(s.split()) >= 4 or len(s) >= 4 and HAN.search(s)):
-        return "item"
-    if x[17] or x[5] and x[21]:
-        return "label"
-    return ""
-
-
-def _features(lines: list[str], i: int, title: str | None, facts: Facts) -> np.ndarray:
-    rate, site_pages, share, title_like, usual = facts
-    s = lines[i].strip()
-    # titles often carry the name of the site behind the page's own
-    own = bool(title) and (s == title.strip() or len(s) > 3 and title.startswith(s) and len(title) - len(s) < 40)
-    return shape(lines[i], i, len(lines), rate, site_pages, share, title_like, own, usual)
+def _max_flow(part: list[int], u: list[float], cap: list[dict[int, float]]) -> dict[int, bool]:
+    """Maximum flow from the nodes with positive cost to those with negative, by shortest augmenting paths searched from
+    one source at a time. The nodes that a source with flow left reaches are its side of the cut; no path leaves them, so
+    later searches pass them by. Searches end at the nearest sink, which on the nearly linear graph of a page is near."""
+    source_side: set[int] = set()
+    for s in part:
+        while u[s] > 1e-9 and s not in source_side:
+            before, queue, end = {s: s}, deque([s]), None
+            while queue and end is None:
+                x = queue.popleft()
+                for y, c in cap[x].items():
+                    if c > 1e-9 and y not in before and y not in source_side:
+                        before[y] = x
+                        if u[y] < -1e-9:
+                            end = y
+                            break
+                        queue.append(y)
+            if end is None:
+                source_side |= before.keys()
+                break
+            path, y = [], end
+            while y != s:
+                path.append((before[y], y))
+                y = before[y]
+            flow = min(u[s], -u[end], *(cap[p][q] for p, q in path))
+            u[s] -= flow
+            u[end] += flow
+            for p, q in path:
+                cap[p][q] -= flow
+                cap[q][p] = cap[q].get(p, 0.0) + flow
+    return {a: a in source_side for a in part}
 
 
 def _pages(df: DataFrame) -> DataFrame:
-    """The latest record of every id with a body, with its site."""
+    """The latest record of every id with a body, with its site and, for each line, the hash of its form (figures made equal)
+    and that of its pattern (names and model numbers left out too); null where the line is blank."""
     rows = df.select("id", "url", "title", "body", "crawl_ts").where("id is not null and body is not null and trim(body) != ''")
     last = rows.groupBy("id").agg(F.max(F.struct("crawl_ts", "body", "url", "title")).alias("r")).select("id", "r.body", "r.url", "r.title")
-    return last.withColumn("site", F.coalesce(F.regexp_extract("url", r"^[a-zA-Z]+://([^/]+)", 1), F.lit("")))
+    form = lambda s: F.xxhash64(_form(s))
+    each = F.transform(F.split("body", "\n"), lambda s: F.when(F.trim(s) != "", F.struct(form(s).alias("form"), _pattern(s).alias("pattern"))))
+    return last.withColumn("site", F.coalesce(F.regexp_extract("url", r"^[a-zA-Z]+://([^/]+)", 1), F.lit(""))).withColumn("forms", each)
+
+
+def _form(c: F.Column) -> F.Column:
+    return F.regexp_replace(F.trim(c), "[0-9]+", "9")
+
+
+def _pattern(c: F.Column) -> F.Column:
+    return F.xxhash64(F.regexp_replace(_form(c), r"(?<=\s)\p{Lu}[\p{L}\p{M}9-]*", "X"))
 
 
 def _line_facts(pages: DataFrame) -> DataFrame:
@@ -375,69 +427,92 @@ def _line_facts(pages: DataFrame) -> DataFrame:
     share of its site's pages that carry it (figures made equal), the pages of the site, the share of all sites that carry
     it, whether it has the form of a page title of the collection, and the share of the pages of those sites that carry it.
     A page whose site is not known takes rate and pages from the site of five pages or more where the line's rate is
-    largest, of those that carry it more than once; a line that no such site carries counts as on a page by itself. Counted over all pages; only hashes travel."""
-    form = lambda c: F.regexp_replace(F.trim(c), "[0-9]+", "9")
-    # of a title's form the names and model numbers are left out too
-    pattern = lambda c: F.xxhash64(F.regexp_replace(form(c), r"(?<=\s)\p{Lu}[\p{L}\p{M}9-]*", "X"))
-    lines = pages.select("id", "site", F.posexplode(F.split("body", "\n")).alias("pos", "line")).where("trim(line) != ''")
-    lines = lines.select("id", "site", (F.col("pos") + 1).alias("line_no"), F.xxhash64(form(F.col("line"))).alias("form"), pattern(F.col("line")).alias("pattern"))
-    lines = cut(lines)
+    largest, of those that carry it more than once; a line that no such site carries counts as on a page by itself.
+
+    Counted over all pages; only hashes travel. A site, a line of a site, a line of many sites and a pattern may all be hot:
+    their counts, which are there anyway, name the few that are joined by broadcast.
+    """
+    once = pages.select("site", F.explode(F.array_distinct(F.filter("forms", lambda x: x.isNotNull()))).alias("x"))
+    per_site = cut(once.groupBy("site", F.col("x.form").alias("form")).agg(F.count(F.lit(1)).alias("n"), F.max("x.pattern").alias("pattern")))
     known = F.col("site") != ""
-    per_site = lines.where(known).select("site", "form", "id").distinct().groupBy("site", "form").agg(F.count(F.lit(1)).alias("n"))
-    site_pages = pages.where(known).groupBy("site").agg(F.count(F.lit(1)).alias("site_pages"))
-    rated = per_site.join(site_pages, "site").withColumn("rate", F.col("n") / F.col("site_pages"))
-    largest = F.max(F.when((F.col("site_pages") >= 5) & (F.col("n") >= 2), F.struct("rate", "site_pages"))).alias("largest")
-    per_form = rated.groupBy("form").agg(F.count(F.lit(1)).alias("sites"), (F.sum("n") / F.sum("site_pages")).alias("usual"), largest)
-    all_sites = F.broadcast(site_pages.agg(F.count(F.lit(1)).alias("all_sites")))
-    per_form = cut(per_form.crossJoin(all_sites).select("form", (F.col("sites") / F.col("all_sites")).alias("share"), "usual", "largest"))
+    site_pages = cut(pages.where(known).groupBy("site").agg(F.count(F.lit(1)).alias("site_pages")))
+    rated = join_hot(per_site, site_pages, "site", "left", hot_of_counts(per_site.groupBy("site").agg(F.count(F.lit(1)).alias("rows")), "site", "rows"))
+    rated = rated.withColumn("rate", F.when(known, F.col("n") / F.col("site_pages")))
+    largest = F.max(F.when(known & (F.col("site_pages") >= 5) & (F.col("n") >= 2), F.struct("rate", "site_pages"))).alias("largest")
+    usual = F.coalesce(F.sum(F.when(known, F.col("n"))) / F.sum("site_pages"), F.lit(0.0)).alias("usual")
+    per_form = rated.groupBy("form").agg(F.count_if(known).alias("sites"), F.count(F.lit(1)).alias("rows"), usual, largest, F.max("pattern").alias("pattern"))
+    all_sites = F.broadcast(site_pages.agg(F.count(F.lit(1)).alias("all_sites")))  # one row
+    per_form = cut(per_form.crossJoin(all_sites).withColumn("share", F.coalesce(F.col("sites") / F.when(F.col("all_sites") > 0, F.col("all_sites")), F.lit(0.0))))
     # the page's own name is what stands before the site's
     own = F.regexp_replace("title", r"\s+(\||-|–|—|::|·|»)\s+[^|–—:·»-]{1,60}$", "")
-    titles = pages.where("title is not null").select(pattern(own).alias("pattern")).distinct().withColumn("title_like", F.lit(True))
-    patterns = lines.groupBy("pattern").agg(F.lit(1).alias("one")).join(titles, "pattern").select("pattern", "title_like")
-    counted = rated.join(per_form, "form").select("site", "form", "rate", "site_pages", "share", "usual")
-    facts = ["id", "line_no", "pattern", "rate", "site_pages", "share", "usual"]
-    nowhere = lines.where(~known).join(per_form, "form", "left")
-    nowhere = nowhere.withColumns({"rate": F.coalesce("largest.rate", F.lit(0.0)), "site_pages": F.coalesce("largest.site_pages", F.lit(1)).cast("bigint"), "share": F.coalesce("share", F.lit(0.0)), "usual": F.coalesce("usual", F.lit(0.0))})
-    met = lines.where(known).join(counted, ["site", "form"]).select(*facts).unionAll(nowhere.select(*facts))
-    met = met.join(patterns, "pattern", "left").withColumn("title_like", F.coalesce("title_like", F.lit(False)))
-    return met.groupBy("id").agg(F.collect_list(F.struct("line_no", *FACTS)).alias("facts"))
+    titles = pages.where("title is not null").select(_pattern(own).alias("pattern")).distinct().withColumn("title_like", F.lit(True))
+    patterns = per_form.groupBy("pattern").agg(F.count(F.lit(1)).alias("forms"))
+    hot_forms = hot_of_counts(per_form, "form", "rows")
+    per_form = join_hot(per_form, titles, "pattern", "left", hot_of_counts(patterns, "pattern", "forms"))
+    per_form = per_form.select("form", "share", "usual", F.col("largest.rate").alias("rate_there"), F.col("largest.site_pages").alias("pages_there"), F.coalesce("title_like", F.lit(False)).alias("title_like"))
+    key = F.xxhash64("site", "form").alias("key")
+    met = join_hot(rated.select("site", "form", "n", "rate", "site_pages"), per_form, "form", "inner", hot_forms)
+    met = met.select(key, "n", F.coalesce("rate", "rate_there", F.lit(0.0)).alias("rate"), F.coalesce("site_pages", "pages_there", F.lit(1)).cast("bigint").alias("site_pages"), "share", "title_like", "usual")
+    met = cut(met)
+    lines = pages.select("id", "site", F.posexplode("forms").alias("pos", "x")).where("x is not null").select("id", (F.col("pos") + 1).alias("line_no"), F.xxhash64("site", "x.form").alias("key"))
+    facts = join_hot(lines, met.drop("n"), "key", "inner", hot_of_counts(met, "key", "n"))
+    return facts.groupBy("id").agg(F.collect_list(F.struct("line_no", *FACTS)).alias("facts"))
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Lines]]:
+    """Parts of batches of (id, body, title, facts), with their lines."""
+    for at in range(0, batch.num_rows, TOGETHER):
+        part = batch.slice(at, TOGETHER)
+        yield part, Lines(*(part.column(i) for i in (1, 2, 3)))
+
+
+def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weakly labelled lines of pages: label, shape, buckets of words."""
+    for batch in batches:
+        for _, lines in _slices(batch):
+            y = lines.weak_labels()
+            row, col = lines.grams()
+            order = np.argsort(row, kind="stable")
+            offsets = np.searchsorted(row[order], np.arange(len(y) + 1)).astype(np.int32)
+            words = pa.ListArray.from_arrays(offsets, pa.array(col[order].astype(np.int32)))
+            shape = pa.ListArray.from_arrays((np.arange(len(y) + 1) * len(SHAPE)).astype(np.int32), pa.array(lines.x.reshape(-1)))
+            out = pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(lines.plain), shape, words], ["label", "plain", "shape", "words"])
+            yield out.filter(pa.array(y >= 0))
+
+
+def fit(rows: DataFrame, train_pages: int) -> np.ndarray:
+    """The classifier's weights, from about ``train_pages`` pages (never more than twice as many) chosen by hash of the id:
+    a share of the pages, so that no task sends more than its part of the sample; the limit is the proven bound. Features
+    and labels are made of whole pages by the workers."""
+    share = train_pages / max(1, rows.count())
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * train_pages)
+    table = sample.mapInArrow(_samples, "label int, plain boolean, shape array<float>, words array<int>").toArrow().combine_chunks()
+    if not table.num_rows:
+        return np.zeros(len(SHAPE) + WORDS)
+    x = table["shape"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(SHAPE))
+    words = table["words"].combine_chunks()
+    sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    return train(x, table["label"].to_numpy(), table["plain"].to_numpy(), np.repeat(np.arange(len(sizes)), sizes), words.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
 
 
 def label_lines(df: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
     """(id, line_no, line, own) of every line that is not blank, of the latest record of every id.
 
     ``own`` tells whether the line belongs to the page's own text. Lines are parted by newlines and numbered from 1, blank
-    ones too. Null and blank bodies give no row; pages without a site in their url belong to none; rows with a null id are left out. The
-    classifier is trained on about ``train_pages`` pages (never more than twice as many), chosen by hash of the id;
+    ones too; white space at their ends is left out. Null and blank bodies give no row; pages without a site in their url
+    belong to none; rows with a null id are left out. The classifier is trained on about ``train_pages`` pages (see ``fit``);
     everything else sees all pages.
     """
     pages = cut(_pages(df))
-    rows = cut(pages.join(_line_facts(pages), "id").select("id", "body", "title", "facts"))
-    # a share of the pages by hash, so that no task sends more than its part of the sample; the limit is the proven bound
-    share = train_pages / max(1, rows.count())
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * train_pages)
-    short = F.transform(F.slice(F.split("body", "\n"), 1, 500), lambda x: F.substring(x, 1, TRAIN_CHARS))
-    lines = []
-    for r in sample.select(short.alias("lines"), "title", F.slice("facts", 1, 500).alias("facts")).collect():
-        facts = {f["line_no"]: tuple(f[c] for c in FACTS) for f in r["facts"]}
-        nodes, feats, kind = _page(r["lines"], r["title"], facts)
-        lines += [(x, _words(r["lines"][i]), y) for i, x, y in zip(nodes, feats, weak_labels(feats, kind))]
-    weights = train(lines)
+    rows = cut(pages.select("id", "body", "title").join(_line_facts(pages), "id").select("id", "body", "title", "facts"))
+    weights = fit(rows, train_pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows_, no, text, own = [], [], [], []
-                for k, (body, title, facts) in enumerate(zip(*(part.column(c).to_pylist() for c in (1, 2, 3)))):
-                    known = {f["line_no"]: tuple(f[c] for c in FACTS) for f in facts}
-                    split = body.split("\n")
-                    for i, side in label_page(body, title, known, weights).items():
-                        rows_.append(k)
-                        no.append(i)
-                        text.append(split[i - 1])
-                        own.append(not side)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows_, pa.int64())), pa.array(no, pa.int64()), pa.array(text, pa.string()), pa.array(own, pa.bool_())], ["id", "line_no", "line", "own"])
+            for part, lines in _slices(batch):
+                u = lines.log_odds(weights)
+                side = cut_graph(u, *lines.edges(u))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(lines.page)), pa.array(lines.no.astype(np.int64)), lines.text, pa.array(~side)], ["id", "line_no", "line", "own"])
 
     return rows.mapInArrow(run, "id string, line_no bigint, line string, own boolean")
 

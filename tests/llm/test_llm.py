@@ -1,7 +1,9 @@
 import math
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -88,6 +90,8 @@ def test_min_cut_is_minimal(case):
     n = len(unary)
     best = min(energy([bool(k >> i & 1) for i in range(n)]) for k in range(1 << n))
     assert abs(energy(boilerplate.min_cut([float(u) for u in unary], {e: float(w) for e, w in edges.items()})) - best) < 1e-6
+    a, b, w = (np.array(c, k) for c, k in (([e[0] for e in edges], int), ([e[1] for e in edges], int), (list(edges.values()), float)))
+    assert abs(energy(boilerplate.cut_graph(np.array(unary, float), a, b, w).tolist()) - best) < 1e-6
 
 
 def test_boilerplate_page(spark):
@@ -103,18 +107,52 @@ def test_boilerplate_page(spark):
     assert boilerplate.label_lines(df.limit(0)).count() == 0
 
 
-def test_costs_contain_the_classifier():
-    rng = np.random.RandomState(3)
-    sure = rng.normal(size=boilerplate.SHAPES + boilerplate.WORDS) * 0.1
+def lines_of(*bodies, titles=None, facts=None):
+    kinds = pa.list_(pa.struct([("line_no", pa.int32()), ("rate", pa.float64()), ("site_pages", pa.int64()), ("share", pa.float64()), ("title_like", pa.bool_()), ("usual", pa.float64())]))
+    return boilerplate.Lines(pa.array(bodies, pa.string()), pa.array(titles or [None] * len(bodies), pa.string()), pa.array(facts or [[]] * len(bodies), kinds))
+
+
+def test_costs_are_the_classifier():
     own = "The kettle was moved to the harbour because the wooden drill had failed and nobody came."
-    for line in ("We use cookies to improve this site.", own, "Recent posts", "What is the difference between a drill and…", "A short line", "few small words", "1. some flour"):
-        x = boilerplate.shape(line, 9, 40, 0.01, 300, 1, False, False)
-        learned = [boilerplate.learned(x, line, w) for w in (sure, -sure)]
-        costs = [boilerplate.cost(x, line, w) for w in (sure, -sure)]
-        assert learned[0] != learned[1] and abs((costs[0] - costs[1]) - (learned[0] - learned[1])) < 1e-6
+    body = "\n".join(["We use cookies to improve this site.", own, "Recent posts", "What is the difference between a drill and…", "", "few small words", "1. some flour", "漢字の文。", "9" * 5000])
+    lines = lines_of(body, "", "\n \n", own)
+    assert lines.no.tolist() == [1, 2, 3, 4, 6, 7, 8, 9, 1] and lines.page.tolist() == [0] * 8 + [3]
+    sure = np.random.RandomState(3).normal(size=len(boilerplate.SHAPE) + boilerplate.WORDS) * 0.1
+    assert (lines.log_odds(sure) != 0).all() and np.allclose(lines.log_odds(sure), -lines.log_odds(-sure)) and not lines.log_odds(0 * sure).any()
+    empty = lines_of("", "\n")
+    assert len(empty.log_odds(sure)) == 0 and len(boilerplate.cut_graph(np.zeros(0), *empty.edges(np.zeros(0)))) == 0
     # a sentence on 1 % of a large site's pages is repeated all the same, and teaches nothing
-    once, often = (boilerplate.shape(own, 9, 40, n / 10_000, 10_000, 1, False, False) for n in (1, 100))
-    assert boilerplate.rules(once) < boilerplate.rules(often) - 1 and boilerplate.weak_label(once) == 0 and boilerplate.weak_label(often) == -1
+    once, often = (lines_of(own, facts=[[{"line_no": 1, "rate": n / 10_000, "site_pages": 10_000, "share": 1.0, "title_like": False, "usual": 0.0}]]) for n in (1, 100))
+    assert once.weak_labels().tolist() == [0] and often.weak_labels().tolist() == [-1]
+
+
+def test_labels_follow_the_training():
+    rng = np.random.RandomState(1)
+    x = np.ones((400, len(boilerplate.SHAPE)), np.float32)
+    y = np.arange(400) % 2
+    words = np.where(y == 1, 5, 9)  # only the words tell the labels apart
+    w = boilerplate.train(x, y, rng.random_sample(400) > 0.5, np.arange(400), words)
+    assert w[len(boilerplate.SHAPE) + 5] > 1 and w[len(boilerplate.SHAPE) + 9] < -1
+    assert not boilerplate.train(x, 0 * y, y > 1, np.arange(400), words).any()
+
+
+def test_cut_of_a_long_page():
+    rng = np.random.RandomState(2)
+    n = 20_000
+    u = rng.normal(size=n)
+    a = np.concatenate([np.arange(n - 1), np.arange(n - 2)])
+    b = np.concatenate([np.arange(1, n), np.arange(2, n)])
+    w = np.concatenate([rng.choice([0.2, 0.35, 5.0], n - 1), np.full(n - 2, 0.15)])
+    began = time.perf_counter()
+    label = boilerplate.cut_graph(u, a, b, w)
+    assert time.perf_counter() - began < 20
+    energy = lambda x: (np.where(x, -u, 0).sum() + w[x[a] != x[b]].sum())
+    best = energy(label)
+    # no single line and no run of lines is better on the other side
+    for k in rng.randint(0, n - 12, 300).tolist():
+        other = label.copy()
+        other[k : k + rng.randint(1, 12)] ^= True
+        assert energy(other) >= best - 1e-9
 
 
 def test_shared_lines_do_not_depend_on_the_number_of_sites(spark):
@@ -127,8 +165,6 @@ def test_shared_lines_do_not_depend_on_the_number_of_sites(spark):
 
     few, many = ({tuple(f[c] for c in boilerplate.FACTS) for f in boilerplate._line_facts(boilerplate._pages(lines(n))).where("id = '0-0'").first()["facts"] if f["line_no"] == 2} for n in (4, 40))
     assert few == many == {(0.3, 10, 0.25, False, 0.3)}
-    rare, common = (boilerplate.shape(notice, 5, 40, 0.25, 3, share, False, False, 0.4) for share in (0.01, 0.9))
-    assert boilerplate.rules(rare) == boilerplate.rules(common) == 0
 
 
 def test_pages_without_url_take_the_rates_of_known_sites(spark):
