@@ -1,5 +1,6 @@
 import math
 import random
+import struct
 import time
 
 import numpy as np
@@ -76,6 +77,23 @@ def test_top_n(spark, monkeypatch):
     assert got == {(9, 0), (9, 1), (9, 2), (10, 7)}
 
 
+def test_order_code_is_the_bits(spark):
+    rng = random.Random(1)
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, 2.225073858507201e-308, 1.7976931348623157e308, math.inf, -math.inf, 1 - 2**-53, 1 + 2**-52, 4 - 2**-51, 2.0**1023]
+    values += [x for x in (struct.unpack("<d", rng.randbytes(8))[0] for _ in range(2000)) if x == x]
+    values += [2.0**k * (1 + d) for k in range(-1021, 1023, 7) for d in (0, -(2**-53), 2**-52)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", topn.order_code(F.col("v")).alias("c")).collect()
+    bits = lambda v: struct.unpack("<q", struct.pack("<d", abs(v)))[0] * (-1 if v < 0 else 1)
+    assert [r.c for r in rows] == [bits(r.v) for r in rows]
+
+
+def test_top_n_of_the_smallest_differences(spark):
+    rows = [(1, 1, 0.0), (1, 2, 5e-324), (1, 3, -5e-324), (2, -(2**63), 1.0), (2, 2**63 - 1, 1.0), (2, 0, 1.0)] + [(3, i, 2.0**-i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g bigint, i bigint, s double")
+    for n in (1, 2):
+        assert {(r.g, r.i) for r in topn.top_n_per_group(df, ["g"], "i", "s", n).collect()} == brute_top(rows, n)
+
+
 # --- 3 boilerplate -------------------------------------------------------------------------------------------------------
 
 
