@@ -1,7 +1,9 @@
 """Sentence boundaries across languages and scripts.
 
 A pushdown automaton reads the marks of a block of text: opening quotations and brackets go on the stack, and a stop only
-counts where the stack is empty. Abbreviations are looked up backwards in a trie; every script brings its own stops.
+counts where no quotation or bracket is open. Below them lie the list levels: a list mark at the head of a line opens, goes
+on or closes one by its indentation and kind, and every sentence comes out with its level. Abbreviations
+are looked up backwards in a trie; every script brings its own stops.
 """
 
 from __future__ import annotations
@@ -29,13 +31,29 @@ hr nr str vgl evtl ggf inkl bzw abb bd kap zzgl tel geb gegr jh sog
 AMBIGUOUS = "inc ltd co corp llc jr sr. etc usw p.m a.m ph.d u.s u.k b.c a.d г т.д т.п κ.λπ κ.ά u.a".split()
 #: Not the end before a number.
 NUMERIC = "no nos n nº art para par item ex line lines page pages eq tab табл № núm".split()
-MONTHS = "januar februar märz april mai juni juli august september oktober november dezember jänner januari".split()
+#: Written behind a day's number with a stop: German, Danish and Norwegian, Czech, Finnish, Hungarian, Turkish has none.
+MONTHS = """
+januar februar märz april mai juni juli august september oktober november dezember jänner feber
+marts maj oktober december mars desember ledna února března dubna května června července srpna září října listopadu prosince
+tammikuuta helmikuuta maaliskuuta huhtikuuta toukokuuta kesäkuuta heinäkuuta elokuuta syyskuuta lokakuuta marraskuuta joulukuuta
+január február március április május június július augusztus szeptember október
+""".split()
 #: Words that go on after an abbreviation in text without capitals.
 GOING_ON = "in on of at to for are is was by with and or from as the's has had will that which were".split()
-#: A name that ends in a mark is followed by one of these.
-COMPANY = "Supply Works Guild Office Inc Ltd Group Corp Co Company Media Foods Stores Brothers".split()
+#: What follows a firm's name, which may end in a mark: legal forms, and what firms call themselves.
+COMPANY = """
+Inc Ltd Llc Plc Corp Co Company Gmbh Ag Kg Sa Sarl Sas Spa Srl Bv Nv Ab As Oy Group Holding Holdings Partners Brothers Bros Sons
+Foods Media Stores Store Shop Works Office Supply Guild Studios Records Music Games Books Press Magazine Systems Motors Industries Labs Services Bank Airlines Hotels
+""".split()
 #: Who speaks is told after a quotation by one of these.
-SPEECH = "said says asked asks shouted replied cried whispered answered added called wrote yelled remarked explained".split()
+SPEECH = """
+said says asked asks shouted replied cried whispered answered added called wrote yelled remarked explained
+sagte sagt fragte fragt rief antwortete erwiderte flüsterte erklärte schrieb meinte ergänzte
+dit demanda demande répondit répond cria ajouta murmura expliqua écrivit lança
+dijo dice preguntó pregunta respondió gritó añadió susurró explicó escribió
+сказал сказала говорит спросил спросила ответил ответила крикнул крикнула добавил добавила прошептал объяснил
+είπε ρώτησε απάντησε φώναξε ψιθύρισε πρόσθεσε
+""".split()
 #: What goes on after a closing quotation in scripts without capitals.
 PARTICLES = ("と", "って", "という", "라고", "이라고", "고 ", "하고", "라는", "は", "が", "を", "の", "に", "で", "も")
 # -----------------------------------------------------------------------------------------------------------------------
@@ -87,11 +105,51 @@ def _ends_in(trie: dict, text: str, end: int, low: int) -> bool:
         i -= 1
 
 
+def _mark_kind(mark: str) -> tuple[str, int]:
+    """Kind of a list mark ('1.', '(1)', 'a)', '-') and its place in the order, 0 where it has none."""
+    core = mark.strip("().")
+    if core.isdigit():
+        return mark.replace(core, "1"), int(core)
+    if core.isalpha() and len(core) == 1:
+        return mark.replace(core, "A" if core.isupper() else "a"), ord(core.lower()) - 96
+    return (mark.replace(core, "a") if core.isalnum() else mark), 0
+
+
+class _Lists:
+    """The open list levels of a text, outermost first: (indentation, kind, number of the last mark). They are the lower part
+    of the automaton's stack and outlive blocks, for items may be parted by blank lines."""
+
+    def __init__(self) -> None:
+        self.levels: list[tuple[int, str, int]] = []
+
+    def at(self, text: str, start: int) -> int:
+        """Meet the beginning of a sentence: open, continue or close levels. Returns the level of a marked sentence, else the
+        number of levels that its line's indentation leaves open (0 for text at the margin)."""
+        line = max(text.rfind("\n", 0, start), text.rfind("\r", 0, start)) + 1
+        indent = start - line
+        if text[line:start].strip():
+            return len(self.levels)  # inside a line: still in the item
+        m = LIST_MARK.match(text, start)
+        if not m or m.end() < len(text) and not text[m.end()].isspace():
+            while self.levels and indent <= self.levels[-1][0]:
+                self.levels.pop()
+            return len(self.levels)
+        kind, number = _mark_kind(m[0])
+        while self.levels and (indent < self.levels[-1][0] or indent == self.levels[-1][0] and kind != self.levels[-1][1] and any(k == kind for i, k, _ in self.levels[:-1] if i == indent)):
+            self.levels.pop()
+        if self.levels and self.levels[-1][:2] == (indent, kind):
+            self.levels[-1] = (indent, kind, number)
+        else:
+            self.levels.append((indent, kind, number))
+        return len(self.levels)
+
+
 class _Block:
-    """One block of a text, from ``low`` to ``high``."""
+    """One block of a text, from ``low`` to ``high``. ``lists`` are the levels that the blocks before it left open."""
 
-    def __init__(self, text: str, low: int, high: int) -> None:
+    def __init__(self, text: str, low: int, high: int, lists: _Lists | None = None) -> None:
         self.text, self.low, self.high = text, low, high
+        self.lists = lists or _Lists()
         part = text[low:high]
         self.no_capitals = part == part.lower() and part != part.upper()
         self.last_close: dict[str, int] = {}
@@ -260,9 +318,11 @@ class _Block:
             return 0
         return end
 
-    def spans(self) -> Iterator[tuple[int, int]]:
+    def spans(self) -> Iterator[tuple[int, int, int]]:
+        """(begin, end, list level) of the sentences."""
         text, high = self.text, self.high
         start = self.after(self.low)
+        level = self.lists.at(text, start) if start < high else 0
         stack: list[tuple[str, int, bool]] = []
         skip = start
         for m in EVENT.finditer(text, start, high):
@@ -307,13 +367,14 @@ class _Block:
             elif c[0] in "   ":
                 end = at
             if end:
-                yield start, end
+                yield start, end, level
                 start = skip = self.after(end)
                 stack = []
+                level = self.lists.at(text, start) if start < high else 0
         while high > start and text[high - 1].isspace():
             high -= 1
         if high > start:
-            yield start, high
+            yield start, high, level
 
     def one_word(self, start: int, at: int) -> bool:
         words = self.text[start:at].split()
@@ -341,35 +402,42 @@ class _Block:
         return self.last_close[c] > at
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """Spans [begin, end) of the sentences of a text in code points, in order, without white space at either end."""
-    out, low = [], 0
+def leveled_sentences(text: str) -> list[tuple[int, int, int]]:
+    """(begin, end, list level) of the sentences of a text in code points, in order, without white space at either end; the
+    level is 0 outside lists."""
+    out, low, lists = [], 0, _Lists()
     for m in BLOCK.finditer(text):
-        out += _Block(text, low, m.start()).spans()
+        out += _Block(text, low, m.start(), lists).spans()
         low = m.end()
-    out += _Block(text, low, len(text)).spans()
+    out += _Block(text, low, len(text), lists).spans()
     return out
 
 
+def sentences(text: str) -> list[tuple[int, int]]:
+    """``leveled_sentences`` without the levels."""
+    return [(a, b) for a, b, _ in leveled_sentences(text)]
+
+
 def sentence_spans(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, sentence_no, begin_pos, end_pos, sentence) of every text, whole texts, in order.
+    """(key, sentence_no, begin_pos, end_pos, list_level, sentence) of every text, whole texts, in order.
 
-    Null, empty and blank texts give no row. One set of rows comes out for each row in, repeated keys included; other
-    columns are left out. Nothing is shuffled.
+    ``list_level`` tells how many lists are open about the sentence. Null, empty and blank texts give no row. One set of
+    rows comes out for each row in, repeated keys included; other columns are left out. Nothing is shuffled.
     """
-    names = [key, "sentence_no", "begin_pos", "end_pos", "sentence"]
+    names = [key, "sentence_no", "begin_pos", "end_pos", "list_level", "sentence"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
             for at in range(0, len(texts), 512):
-                rows, no, begin, end, words = [], [], [], [], []
+                rows, no, begin, end, level, words = [], [], [], [], [], []
                 for i, t in enumerate(texts.slice(at, 512).to_pylist(), at):
-                    for k, (a, b) in enumerate(sentences(t), 1):
-                        for col, v in zip((rows, no, begin, end, words), (i, k, a, b, t[a:b])):
+                    for k, (a, b, d) in enumerate(leveled_sentences(t), 1):
+                        for col, v in zip((rows, no, begin, end, level, words), (i, k, a, b, d, t[a:b])):
                             col.append(v)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(no, pa.int32()), pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(words, pa.string())], names)
+                arrays = (pa.array(c, k) for c, k in zip((no, begin, end, level, words), (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *arrays], names)
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key), F.col(text).alias("__text")).where("__text is not null and __text != ''")
-    return rows.mapInArrow(run, f"`{key}` {kind}, sentence_no int, begin_pos bigint, end_pos bigint, sentence string")
+    return rows.mapInArrow(run, f"`{key}` {kind}, sentence_no int, begin_pos bigint, end_pos bigint, list_level int, sentence string")

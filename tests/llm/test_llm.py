@@ -410,7 +410,11 @@ def test_budget_fit_is_in_proportion():
     again = mixture.fit_budget(lengths, counts, budget, seed=3)
     assert (again == drawn[3]).all()
     # documents longer than the gap, and budgets around them
-    assert int((mixture.fit_budget(np.array([70_000, 90_000]), np.array([1, 1]), 95_000) * [70_000, 90_000]).sum()) == 90_000
+    fit = lambda stock, budget: int((mixture.fit_budget(np.array(list(stock)), np.array(list(stock.values())), budget) * np.array(list(stock))).sum())
+    assert fit({70_000: 1, 90_000: 1}, 95_000) == 90_000
+    assert fit({70_000: 3, 80_000: 1}, 150_000) == 150_000 and fit({66_000: 2, 70_001: 2}, 136_001) == 136_001
+    assert fit({3_000_000: 5, 1_999_999: 4, 7: 2}, 6_999_998 + 7) == 6_999_998 + 7 and fit({2_000_000: 50, 3_000_000: 3}, 41_000_000) == 41_000_000
+    assert fit({10: 5, 1_000: 1}, 1_035) == 1_030
 
 
 def test_shares():
@@ -494,3 +498,9 @@ def test_long_single_quotation_is_one_sentence():
     inner = " ".join(["The pump broke down again and nobody in town came to look at it."] * 12)
     text = f"'{inner}' They left."
     assert len(inner) > 400 and [text[a:b] for a, b in sentences.sentences(text)] == [f"'{inner}'", "They left."]
+
+
+def test_list_levels_are_on_the_stack():
+    text = "Intro here.\n\n1. First item.\n\n   - Inner one. It goes on.\n\n   - Inner two.\n\n2. Second item.\n\nBack at the margin."
+    got = [(text[a:b], d) for a, b, d in sentences.leveled_sentences(text)]
+    assert got == [("Intro here.", 0), ("1. First item.", 1), ("- Inner one.", 2), ("It goes on.", 2), ("- Inner two.", 2), ("2. Second item.", 1), ("Back at the margin.", 0)]
