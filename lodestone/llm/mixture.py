@@ -13,10 +13,13 @@ from lodestone.llm.tokenizer import VOCABULARY, token_counts
 from lodestone.llm.topn import top_n_per_group
 from lodestone.session import cut
 
-#: Tokens that the dynamic programme fills at most; the rest of a budget is taken in proportion over all lengths.
+#: Tokens that the dynamic programme fills at least; the rest of a budget is taken in proportion over all lengths.
 GAP = 1 << 16
-#: The programme's memory and time grow with its tokens: it is widened for long documents to so many at most.
-WIDEST = 1 << 20
+#: So many of the longest documents find room in the programme at once; it is as wide as they are.
+ROOM = 4
+#: Where the sum is missed, the programme is widened by 4 again and again while it has no more tokens than this (5 bytes
+#: each): beyond, the nearest sum below is taken.
+WIDEST = 1 << 26
 
 
 def source_name(source: F.Column) -> F.Column:
@@ -61,9 +64,10 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int =
     """How many documents of each length to take so that their tokens reach ``budget`` or the nearest sum below.
 
     The bulk is taken in equal proportion from all lengths, long ones first, so that the proportion of the others makes up
-    for how these fell; fractions of a document are rounded by ``seed``. At most the last ``gap`` tokens (more where a
-    document left is longer, up to WIDEST) are filled exactly by a bounded-knapsack programme over the remaining documents
-    in seeded order (each length's stock split into powers of two).
+    for how these fell; fractions of a document are rounded by ``seed``. The last ``gap`` tokens, or as many as ROOM of the
+    longest documents have, are filled exactly by a bounded-knapsack programme over the remaining documents in seeded order
+    (each length's stock split into powers of two). Where these cannot make up the sum, the programme takes a wider part of
+    the budget, up to WIDEST tokens or the whole. All counts are divided by the lengths' greatest common divisor.
     """
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     total = int((lengths * counts).sum())
@@ -71,9 +75,18 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int =
         return counts.copy()
     if budget <= 0:
         return np.zeros_like(counts)
-    rng = np.random.default_rng(seed)
-    gap = max(gap, min(int(lengths[counts > 0].max()), WIDEST))
-    take, left = np.zeros_like(counts), budget
+    unit = int(np.gcd.reduce(lengths[counts > 0]))
+    lengths, budget, total = lengths // unit, budget // unit, total // unit
+    gap = max(gap // unit, ROOM * int(lengths[counts > 0].max()), 1)
+    while True:
+        take = _fit(lengths, counts, budget, gap, np.random.default_rng(seed))
+        if gap >= budget or 4 * gap > WIDEST or int((take * lengths).sum()) == budget:
+            return take
+        gap *= 4
+
+
+def _fit(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int, rng: np.random.Generator) -> np.ndarray:
+    take, left, total = np.zeros_like(counts), budget, int((lengths * counts).sum())
     for part in (lengths > gap // 8, lengths <= gap // 8):
         have = int((lengths * counts)[part].sum())
         # what the parts not yet taken from hold: their proportion is one
@@ -116,7 +129,7 @@ def _rounded(lengths: np.ndarray, counts: np.ndarray, where: np.ndarray, bulk: i
 
 def _filled(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, left: int, gap: int, rng: np.random.Generator) -> np.ndarray:
     take = take.copy()
-    cap = min(left, max(gap, 1))
+    cap = max(0, min(left, max(gap, 1)))
     first = np.full(cap + 1, -1, np.int32)
     reach = np.zeros(cap + 1, bool)
     reach[0] = True
