@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import ascii_lower
-from lodestone.operators.skew import join_hot
+from lodestone.operators.skew import hot_of_counts, join_hot
 from lodestone.session import cut
 
 #: Entries of a block's local dictionary before its arrays are handed on; bounds a task's memory.
@@ -138,12 +138,13 @@ def against_lexicon(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def page_lengths(postings: DataFrame, page_table: DataFrame) -> DataFrame:
-    """(doc_id, dl double, listed boolean) of every page of either table: term_cnt or, where it is null, the sum of the
-    page's freqs (0 if none). Of different term_cnt of one page the largest holds. ``listed``: in the page table."""
+    """(doc_id, dl double, listed boolean, terms) of every page of either table: term_cnt or, where it is null, the sum of the
+    page's freqs (0 if none). Of different term_cnt of one page the largest holds. ``listed``: in the page table; ``terms``: how many
+    terms it has in the postings."""
     pages = page_table.where("doc_id is not null").groupBy("doc_id").agg(F.max("term_cnt").alias("__cnt"))
-    sums = postings.groupBy("doc_id").agg(F.sum("freq").alias("__sum"))
+    sums = postings.groupBy("doc_id").agg(F.sum("freq").alias("__sum"), F.count(F.lit(1)).alias("terms"))
     both = pages.withColumn("listed", F.lit(True)).join(sums, "doc_id", "full")
-    return both.select("doc_id", F.coalesce("__cnt", "__sum", F.lit(0)).cast("double").alias("dl"), F.coalesce("listed", F.lit(False)).alias("listed"))
+    return both.select("doc_id", F.coalesce("__cnt", "__sum", F.lit(0)).cast("double").alias("dl"), F.coalesce("listed", F.lit(False)).alias("listed"), F.coalesce("terms", F.lit(0)).alias("terms"))
 
 
 def term_weights(df: DataFrame, page_table: DataFrame, k: float = 0.9, b: float = 0.4) -> DataFrame:
@@ -153,14 +154,16 @@ def term_weights(df: DataFrame, page_table: DataFrame, k: float = 0.9, b: float
     ``df`` counts the pages of a term, N and the mean length are those of the page table. A page outside the page table
     has the sum of its freqs as length. A term in more than N pages scores null, for its logarithm is undefined. The
     document frequencies return to the postings by a join that broadcasts the bounded list of hot terms and shuffles
-    the rest; the lengths likewise by page.
+    the rest; the lengths likewise by page. Which terms and pages are hot is read from the frequencies and lengths
+    themselves; the cleaned postings are written once and read by all steps.
     """
-    rows = clean_postings(df).persist()
+    rows = cut(clean_postings(df))
     # the (term, page) rows are distinct, so their number is the document frequency
-    dfs = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    dfs = cut(rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     lengths = cut(page_lengths(rows, page_table))
     stats = lengths.where("listed").agg(F.count(F.lit(1)).cast("double").alias("__n"), F.avg("dl").alias("__avg"))
-    joined = join_hot(join_hot(rows, dfs, "term"), lengths.drop("listed"), "doc_id").join(F.broadcast(stats))
+    counted = join_hot(rows, dfs, "term", hot=hot_of_counts(dfs, "term", "df"))
+    joined = join_hot(counted, lengths.select("doc_id", "dl"), "doc_id", hot=hot_of_counts(lengths, "doc_id", "terms")).join(F.broadcast(stats))
     idf = F.ln((F.col("__n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     norm = F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("__avg")
     score = idf * F.col("freq") * F.lit(k + 1) / (F.col("freq") + F.lit(k) * norm)
