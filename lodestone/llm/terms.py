@@ -25,11 +25,12 @@ def clean_postings(df: DataFrame) -> DataFrame:
 
     Rows with a null or blank term, a null page, or a null freq or one below 1 do not count; a row equal to another in
     term, doc_id, freq and block_no counts once; terms are compared without spaces at the ends and with ASCII letters
-    in lower case; the freqs of one term in one page add up. One shuffle by (term, page) serves both groupings.
+    in lower case; the freqs of one term in one page add up. Rows repeated in bulk are folded by the map tasks before
+    anything is shuffled, however many copies of one row there are.
     """
     rows = df.select("term", "doc_id", "freq", "block_no").where("term is not null and doc_id is not null and freq >= 1")
     rows = rows.withColumn("__term", F.trim(ascii_lower(F.col("term")))).where("__term not rlike '^\\\\s*$'")
-    rows = rows.repartition("__term", "doc_id").groupBy("__term", "doc_id", "term", "freq", "block_no").agg(F.lit(1).alias("__one"))
+    rows = rows.groupBy("__term", "doc_id", "term", "freq", "block_no").agg(F.lit(1).alias("__one"))
     return rows.groupBy(F.col("__term").alias("term"), "doc_id").agg(F.sum("freq").cast("bigint").alias("freq"))
 
 
