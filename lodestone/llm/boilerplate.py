@@ -409,8 +409,8 @@ def _pages(df: DataFrame) -> DataFrame:
     and that of its pattern (names and model numbers left out too); null where the line is blank."""
     rows = df.select("id", "url", "title", "body", "crawl_ts").where("id is not null and body is not null and trim(body) != ''")
     last = rows.groupBy("id").agg(F.max(F.struct("crawl_ts", "body", "url", "title")).alias("r")).select("id", "r.body", "r.url", "r.title")
-    form = lambda s: F.xxhash64(_form(s))
-    each = F.transform(F.split("body", "\n"), lambda s: F.when(F.trim(s) != "", F.struct(form(s).alias("form"), _pattern(s).alias("pattern"))))
+    forms = F.transform(F.split("body", "\n"), lambda s: _form(s))
+    each = F.transform(forms, lambda s: F.when(s != "", F.struct(F.xxhash64(s).alias("form"), _pattern(s).alias("pattern"))))
     return last.withColumn("site", F.coalesce(F.regexp_extract("url", r"^[a-zA-Z]+://([^/]+)", 1), F.lit(""))).withColumn("forms", each)
 
 
@@ -418,8 +418,8 @@ def _form(c: F.Column) -> F.Column:
     return F.regexp_replace(F.trim(c), "[0-9]+", "9")
 
 
-def _pattern(c: F.Column) -> F.Column:
-    return F.xxhash64(F.regexp_replace(_form(c), r"(?<=\s)\p{Lu}[\p{L}\p{M}9-]*", "X"))
+def _pattern(form: F.Column) -> F.Column:
+    return F.xxhash64(F.regexp_replace(form, r"(?<=\s)\p{Lu}[\p{L}\p{M}9-]*", "X"))
 
 
 def _line_facts(pages: DataFrame) -> DataFrame:
@@ -445,7 +445,7 @@ def _line_facts(pages: DataFrame) -> DataFrame:
     per_form = cut(per_form.crossJoin(all_sites).withColumn("share", F.coalesce(F.col("sites") / F.when(F.col("all_sites") > 0, F.col("all_sites")), F.lit(0.0))))
     # the page's own name is what stands before the site's
     own = F.regexp_replace("title", r"\s+(\||-|–|—|::|·|»)\s+[^|–—:·»-]{1,60}$", "")
-    titles = pages.where("title is not null").select(_pattern(own).alias("pattern")).distinct().withColumn("title_like", F.lit(True))
+    titles = pages.where("title is not null").select(_pattern(_form(own)).alias("pattern")).distinct().withColumn("title_like", F.lit(True))
     patterns = per_form.groupBy("pattern").agg(F.count(F.lit(1)).alias("forms"))
     hot_forms = hot_of_counts(per_form, "form", "rows")
     per_form = join_hot(per_form, titles, "pattern", "left", hot_of_counts(patterns, "pattern", "forms"))
