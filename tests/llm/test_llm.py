@@ -203,8 +203,28 @@ def test_hadamard_keeps_norms():
     y = neighbours._hadamard(x)
     assert np.allclose(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1), rtol=1e-4)
     assert np.allclose(neighbours._hadamard(y), x, atol=1e-4)
-    codes = neighbours.table_codes(x / np.linalg.norm(x, axis=1)[:, None], 6, 16, 2)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    codes = neighbours.table_codes(unit, 6, [16], 2)
     assert codes.shape == (5, 6, 2) and codes.max() < 32 and (codes[:, :, 0] // 2 != codes[:, :, 1] // 2).all()
+    joined = neighbours.table_codes(unit, 6, [64, 1], 3)
+    assert joined.max() < 256 and all(len(set(c)) == 3 for c in joined.reshape(-1, 3).tolist())
+
+
+def test_buckets_follow_the_vectors(monkeypatch):
+    # 64 buckets of one hash hold 1,024 vectors here: from there on hashes are joined
+    monkeypatch.setattr(neighbours, "FILL", 16)
+    work = {}
+    for n in (500, 4_000, 32_000, 128_000):
+        x = np.random.RandomState(0).randn(n, 32).astype(np.float32)
+        axes = neighbours.axes_for(n, 32)
+        codes = neighbours.table_codes(x / np.linalg.norm(x, axis=1)[:, None], 2, axes, 2)
+        sizes = [np.unique(codes[:, t, 0], return_counts=True) for t in range(2)]
+        met = [dict(zip(*map(np.ndarray.tolist, s))) for s in sizes]
+        work[n] = np.mean([met[t].get(c, 0) for t in range(2) for p in range(2) for c in codes[:500, t, p].tolist()])
+        assert n / np.prod([2 * a for a in axes]) <= 16
+    assert neighbours.axes_for(128_000, 32) == [32, 32, 1] and neighbours.axes_for(20_000_000, 384)[0] == 512
+    assert max(work.values()) < 3 * min(work.values())  # of 256 times the vectors
+    assert [neighbours.tables_for(a) for a in ([4], [32], [64], [512, 8])] == [6, 6, 8, 22]
 
 
 def brute_neighbours(corpus, questions, k=5):
