@@ -1,10 +1,13 @@
 """Delta and variable-byte coding of posting lists, as Column expressions over arrays.
 
-A value is cut into groups of seven bits, the lowest first; the last byte of a value has its high bit set.
+A value is cut into groups of seven bits, the lowest first; the last byte of a value has its high bit set. Lists are coded
+by Arrow functions over whole batches, so the cost is linear in the number of values.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,37 +17,97 @@ def delta(ids: Column) -> Column:
     return F.transform(ids, lambda x, i: x - F.when(i > 0, F.get(ids, i - 1)).otherwise(F.lit(0)))
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists, and where each begins (one more entry than lists). Null lists count as empty."""
+    sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _lists(values: pa.Array, starts: np.ndarray, like: pa.Array) -> pa.Array:
+    out = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), values)
+    return pa.array(out.to_pylist(), out.type, mask=like.is_null().to_numpy(zero_copy_only=False)) if like.null_count else out
+
+
+def running_sums(lists: pa.Array) -> pa.Array:
+    values, starts = _flat(lists)
+    sums = np.concatenate([[0], np.cumsum(values.astype(np.int64))])
+    return _lists(pa.array(sums[1:] - np.repeat(sums[starts[:-1]], np.diff(starts))), starts, lists)
+
+
+def to_vbytes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values, and the number of bytes of each. Values must not be negative."""
+    values = values.astype(np.int64)
+    if len(values) and values.min() < 0:
+        raise ValueError("a negative value has no variable-byte code")
+    sizes = np.ones(len(values), np.int64)
+    for i in range(1, 9):
+        sizes += values >= 1 << 7 * i
+    ends = np.cumsum(sizes)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for i in range(int(sizes.max()) if len(sizes) else 0):
+        at = sizes > i
+        out[ends[at] - sizes[at] + i] = values[at] >> 7 * i & 127
+    out[ends - 1] |= 128
+    return out, sizes
+
+
+def from_vbytes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of byte strings that begin at ``starts`` (one more entry than strings), and where each string's values
+    begin. Bytes behind the last end mark of a string are ignored; a value of more than nine bytes raises."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
+    last = data >= 128
+    first = np.concatenate([[True], last[:-1]])
+    first[starts[:-1][starts[:-1] < len(data)]] = True
+    at = np.flatnonzero(first)
+    place = np.arange(len(data)) - np.repeat(at, np.diff(np.append(at, len(data))))
+    if place.max() > 8:
+        raise ValueError("a variable-byte code is longer than nine bytes")
+    values = np.add.reduceat((data & 127).astype(np.int64) << 7 * place, at)
+    whole = last[np.append(at[1:], len(data)) - 1]
+    return values[whole], np.searchsorted(at[whole], starts)
+
+
+def _encoded(lists: pa.Array) -> pa.Array:
+    values, starts = _flat(lists)
+    data, sizes = to_vbytes(values)
+    ends = np.concatenate([[0], np.cumsum(sizes)])[starts]
+    raw = data.tobytes()
+    return pa.array([raw[a:b] if ok else None for a, b, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), lists.is_valid().to_pylist())], pa.binary())
+
+
+def _decoded(data: pa.Array) -> pa.Array:
+    parts = [x or b"" for x in data.to_pylist()]
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+    values, at = from_vbytes(np.frombuffer(b"".join(parts), np.uint8), starts)
+    return _lists(pa.array(values), at, data)
+
+
 def undelta(deltas: Column) -> Column:
-    """Running sums: the inverse of ``delta``, in one pass over the array."""
-    empty = F.array().cast("array<bigint>")
-    folded = F.aggregate(deltas, F.struct(F.lit(0).cast("bigint").alias("s"), empty.alias("out")), lambda a, x: F.struct((a["s"] + x).alias("s"), F.concat(a["out"], F.array(a["s"] + x)).alias("out")))
-    return folded["out"]
+    """Running sums: the inverse of ``delta``. Null gives null."""
+    return _udf(running_sums, "array<bigint>")(deltas.cast("array<bigint>"))
 
 
 def vbyte_size(v: Column) -> Column:
-    """Bytes of one value below 2^35."""
-    return F.when(v < 1 << 7, 1).when(v < 1 << 14, 2).when(v < 1 << 21, 3).when(v < 1 << 28, 4).otherwise(5)
+    """Bytes of one value of up to 63 bits; a negative value raises when it is computed."""
+    bits = F.when(v >= 0, F.length(F.bin(v))).otherwise(F.raise_error(F.lit("a negative value has no variable-byte code")))
+    return F.when(v.isNotNull(), F.ceil(bits / 7).cast("int"))
 
 
 def vbyte_encode(values: Column) -> Column:
-    """The bytes of all values in order."""
-
-    def one(v: Column) -> Column:
-        n = vbyte_size(v)
-        group = lambda i: F.lpad(F.hex(F.floor(v / F.pow(F.lit(128.0), i)).cast("bigint").bitwiseAND(F.lit(127)) + F.when(i == n - 1, 128).otherwise(0)), 2, "0")
-        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), group), "")
-
-    return F.unhex(F.array_join(F.transform(values, one), ""))
+    """The bytes of all values in order. Null gives null; a negative value raises."""
+    return _udf(_encoded, "binary")(values.cast("array<bigint>"))
 
 
 def vbyte_decode(data: Column) -> Column:
-    """The values of a byte string; bytes after the last end mark are ignored."""
-    codes = F.transform(F.when(F.octet_length(data) > 0, F.sequence(F.lit(1), F.octet_length(data))).otherwise(F.array().cast("array<int>")), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("bigint"))
-    start = F.struct(F.lit(0).cast("bigint").alias("v"), F.lit(1).cast("bigint").alias("unit"), F.array().cast("array<bigint>").alias("out"))
+    """The values of a byte string; bytes after the last end mark are ignored. Null gives null."""
+    return _udf(_decoded, "array<bigint>")(data)
+
 
-    def step(a: Column, c: Column) -> Column:
-        v = a["v"] + c.bitwiseAND(F.lit(127)) * a["unit"]
-        last = c >= 128
-        return F.struct(F.when(last, F.lit(0).cast("bigint")).otherwise(v).alias("v"), F.when(last, F.lit(1).cast("bigint")).otherwise(a["unit"] * 128).alias("unit"), F.when(last, F.concat(a["out"], F.array(v))).otherwise(a["out"]).alias("out"))
+def _udf(f, kind: str):
+    # annotated here: Spark reads the hints of the function it is given
+    def over(column: pa.Array) -> pa.Array:
+        return f(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
 
-    return F.aggregate(codes, start, step)["out"]
+    over.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(over, kind)

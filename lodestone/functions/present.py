@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import TOKEN_CLASS, ascii_lower, tokens
+from lodestone.functions.text import PY_LOWER, PY_TOKEN, TOKEN_CLASS, ascii_lower, tokens
 
 # fixed values: the modes by number
 MODES = ("conjunctive", "disjunctive", "semantic", "reranking")
@@ -44,13 +44,50 @@ def snippet(text: Column, terms: Column, length: int = 200) -> Column:
     return let(anchor, lambda a: F.when(a.isNotNull(), find(a)))
 
 
-def highlight(text: Column, words: list[str]) -> Column:
-    """``<b>`` round every run of letters that equals one of ``words``, in any case; figures are never marked. Words
-    without letters are ignored; null gives null."""
-    words = [w for w in words if w.isalpha()]
-    if not words:
-        return text
-    return F.regexp_replace(text, r"(?iu)(?<!\p{L})(" + "|".join(words) + r")(?!\p{L})", "<b>$1</b>")
+def windows(text: str, wanted: list[tuple[str, int]]) -> dict[tuple[str, int], str]:
+    """``snippet`` in Python, for several (term, length) of one text that is read once; terms that it lacks are left out."""
+    data, low = text.encode(), text.translate(PY_LOWER)
+    missing, begins = {t for t, _ in wanted}, {}
+    at = done = 0
+    for m in PY_TOKEN.finditer(low):
+        if m[0] in missing:
+            at += len(low[done : m.start()].encode())
+            done = m.start()
+            begins[m[0]] = at
+            missing.discard(m[0])
+            if not missing:
+                break
+    out = {}
+    for term, length in wanted:
+        if term in begins:
+            out[term, length] = _window(data, begins[term] - length // 2, begins[term] + length // 2)
+    return out
+
+
+def _window(data: bytes, first: int, last: int) -> str:
+    first, last = max(first, 0), min(last, len(data))
+    before, run = data[: first + 1], data[last:]
+    # beyond the ASCII range both ends give way to the whole run of such bytes, and one byte more
+    if first < len(data) and before.strip(_BEYOND) != before.lstrip(_BEYOND):
+        first = max(len(before.rstrip(_BEYOND)) - 1, 0)
+    elif first < len(data) and not before.strip(_BEYOND):
+        first = 0
+    moved = len(run) - len(run.lstrip(_BEYOND))
+    last += moved + (moved > 0 and last + moved + 1 < len(data))
+    return data[first:last].decode("utf-8", "replace")
+
+
+_BEYOND = bytes(range(128, 256))
+
+
+def highlight(text: Column, words: list[str] | Column) -> Column:
+    """``<b>`` round every run of letters that equals one of ``words``, in any case; figures are never marked. ``words`` may be
+    a column of arrays, other words for each row. Words without letters are ignored; null text gives null."""
+    if isinstance(words, list):
+        words = F.array(*map(F.lit, words)).cast("array<string>")
+    letters = F.array_distinct(F.filter(words, lambda w: w.rlike(r"^\p{L}+$")))
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})("), F.array_join(letters, "|"), F.lit(r")(?!\p{L})"))
+    return F.when(F.coalesce(F.size(letters), F.lit(0)) > 0, F.regexp_replace(text, pattern, F.lit("<b>$1</b>"))).otherwise(text)
 
 
 def elapsed(micros: Column) -> Column:
@@ -76,5 +113,7 @@ def parse_request(json: Column) -> Column:
     return F.from_json(json, REQUEST)
 
 
-def cli_line(rank: Column, score: Column, url: Column, text: Column) -> Column:
-    return F.format_string("%d. [score %.2f] %s ...%s...", rank.cast("int"), score, F.coalesce(url, F.lit("")), F.coalesce(text, F.lit("")))
+def cli_line(rank: Column, score: Column, freqs: Column, url: Column, text: Column) -> Column:
+    """One hit for a terminal; ``freqs`` is an array of (term, freq), null where the mode has none."""
+    terms = F.concat_ws("", F.transform(freqs, lambda x: F.concat(x["term"], F.lit("("), x["freq"].cast("string"), F.lit(") "))))
+    return F.concat(F.format_string("%d. [%.2f] ", rank.cast("int"), score), terms, F.lit("\n"), F.coalesce(url, F.lit("")), F.lit("\n..."), F.coalesce(text, F.lit("")), F.lit("..."))

@@ -6,6 +6,8 @@ U+2000-206F and U+3000-307F part tokens, every other character above U+007F belo
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,3 +36,13 @@ def query_terms(query: Column) -> Column:
 def query_key(query: Column) -> Column:
     """The canonical form that permutations and repetitions of a query share."""
     return F.array_join(query_terms(query), " ")
+
+
+#: The same token for Python, which works on code points as the Column form does.
+PY_TOKEN = re.compile(TOKEN.replace("\\x{80}", "\x80").replace("\\x{1FFF}", "\u1fff").replace("\\x{2070}", "\u2070").replace("\\x{2FFF}", "\u2fff").replace("\\x{3080}", "\u3080").replace("\\x{10FFFF}", "\U0010ffff"))
+PY_LOWER = str.maketrans(UPPER, LOWER)
+
+
+def clean_terms(query: str | None) -> list[str]:
+    """``query_terms`` of one query, on the driver: what a cache is asked for without a job."""
+    return sorted(set(PY_TOKEN.findall((query or "").translate(PY_LOWER))), key=str.encode)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import codec
@@ -35,20 +35,14 @@ def lexicon(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("doc_cnt"))
 
 
-def packed(postings: DataFrame) -> DataFrame:
-    """(term, doc_ids, freqs): one row with two parallel arrays for each term, in the order of doc_id.
-
-    The packed form is for lists that fit a row (an array of Spark holds 2^31 entries at most, a row is read by one
-    task); ``packed_blocks`` cuts long lists.
-    """
-    lists = postings.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "freq"))).alias("l"))
-    return lists.select("term", F.col("l.doc_id").alias("doc_ids"), F.col("l.freq").alias("freqs"))
+#: Range of doc_id of a block of a packed list: what bounds a row, whatever a term's frequency.
+PAGES_PER_BLOCK = 1 << 20
 
 
-def packed_blocks(postings: DataFrame, pages_per_block: int = 1 << 20) -> DataFrame:
-    """(term, block, doc_ids, freqs): as ``packed``, but a list is cut by ranges of doc_id, so no row is larger than a
-    block whatever a term's frequency."""
-    lists = postings.groupBy("term", F.floor(F.col("doc_id") / pages_per_block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "freq"))).alias("l"))
+def packed_blocks(postings: DataFrame, pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:
+    """(term, block, doc_ids, freqs): the list of every term as parallel arrays in the order of doc_id, cut by ranges of
+    doc_id, so that no row and no task holds more than a block of a list however frequent its term is."""
+    lists = postings.groupBy("term", F.expr(f"doc_id div {pages_per_block}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "freq"))).alias("l"))
     return lists.select("term", "block", F.col("l.doc_id").alias("doc_ids"), F.col("l.freq").alias("freqs"))
 
 
@@ -76,17 +70,20 @@ def read_page_table(raw: DataFrame) -> DataFrame:
     return pages.agg(F.max("docno").alias("docno"), F.max("url").alias("url"), F.coalesce(F.max("term_cnt"), F.lit(0)).alias("term_cnt"))
 
 
-def index_sizes(postings: DataFrame) -> DataFrame:
+def index_sizes(postings: DataFrame, pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:
     """(term, doc_cnt, delta_bytes, id_bytes, freq_bytes, raw_bytes) of the lists in variable-byte and plain form.
 
-    The differences come from a window over each list; Spark sorts and spills it, and never holds it as one array."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("term").orderBy("doc_id")
-    gap = F.col("doc_id") - F.coalesce(F.lag("doc_id").over(order), F.lit(0))
-    rows = postings.withColumn("gap", gap)
-    size = lambda c: F.sum(codec.vbyte_size(F.col(c))).cast("bigint")
-    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("doc_cnt"), size("gap").alias("delta_bytes"), size("doc_id").alias("id_bytes"), size("freq").alias("freq_bytes"), (4 * F.count(F.lit(1))).alias("raw_bytes"))
+    Differences are taken inside blocks of each list; the one between two blocks comes from the blocks' ends, of which a
+    list has few, so no task sees the whole list of a hot term."""
+    order = Window.partitionBy("term", "block").orderBy("doc_id")
+    rows = postings.withColumn("block", F.expr(f"doc_id div {pages_per_block}"))
+    rows = rows.withColumn("gap", F.col("doc_id") - F.lag("doc_id").over(order))
+    size = lambda c: F.sum(codec.vbyte_size(F.col(c).cast("bigint")))
+    blocks = rows.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.coalesce(size("gap"), F.lit(0)).alias("gaps"), size("doc_id").alias("ids"), size("freq").alias("freqs"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    jump = F.col("lo") - F.coalesce(F.lag("hi").over(Window.partitionBy("term").orderBy("block")), F.lit(0))
+    blocks = blocks.withColumn("gaps", F.col("gaps") + codec.vbyte_size(jump))
+    total = lambda c, name: F.sum(c).cast("bigint").alias(name)
+    return blocks.groupBy("term").agg(total("n", "doc_cnt"), total("gaps", "delta_bytes"), total("ids", "id_bytes"), total("freqs", "freq_bytes"), (4 * F.sum("n")).alias("raw_bytes"))
 
 
 def write_index(docs: DataFrame, path: str, partitions: int | None = None) -> None:
