@@ -107,6 +107,8 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_spans(table(spark, d, "documents"), "doc_id", "text")
 
 
+#: What bench.py times.
+HEADLINE = ["p1_pieces", "p2_found", "p3_found", "p4_found", "p5_found", "p6_found", "p7_found", "p8_ids", "p9_mix", "p10_found"]
 ALL = (
     p1_found, p1_pieces, p2_found, p2_top, p3_found, p3_lines, p3_main_text, p4_found, p4_nearest, p5_found, p5_counts, p6_found, p6_weights,
     p7_found, p7_ranking, p8_ids, p8_round_trip, p8_spans, p9_mix, p9_shares, p10_found, p10_sentences,
