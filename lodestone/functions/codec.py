@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 def delta(ids: Column) -> Column:
     """Differences of neighbours of an ascending array; the first is kept."""
-    return F.transform(ids, lambda x, i: x - F.when(i > 0, F.get(ids, i - 1)).otherwise(F.lit(0)))
+    # the array is moved as a whole: inside the lambda, the expression of ``ids`` would be evaluated for every element
+    return F.zip_with(ids, F.slice(F.concat(F.array(F.lit(0)), ids), 1, F.size(ids)), lambda x, before: x - before)
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:

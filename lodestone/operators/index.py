@@ -42,7 +42,7 @@ PAGES_PER_BLOCK = 1 << 20
 def packed_blocks(postings: DataFrame, pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:
     """(term, block, doc_ids, freqs): the list of every term as parallel arrays in the order of doc_id, cut by ranges of
     doc_id, so that no row and no task holds more than a block of a list however frequent its term is."""
-    lists = postings.groupBy("term", F.expr(f"doc_id div {pages_per_block}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "freq"))).alias("l"))
+    lists = postings.groupBy("term", F.expr(f"doc_id div {pages_per_block}").alias("block")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "freq"))).alias("l"))
     return lists.select("term", "block", F.col("l.doc_id").alias("doc_ids"), F.col("l.freq").alias("freqs"))
 
 

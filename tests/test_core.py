@@ -186,6 +186,20 @@ def test_index_files(spark, built, tmp_path):
         assert sizes["cat"].delta_bytes == 3 and sizes["cat"].raw_bytes == 12
 
 
+def test_delta_of_long_lists(spark):
+    """Linear in the length: lists that are fields of an array of structs are not built again for every element."""
+    n = 100_000
+    postings = spark.range(n).select(F.lit("a").alias("term"), (F.col("id") * 3).alias("doc_id"), F.lit(1).alias("freq"))
+    began = time.monotonic()
+    assert [(r.term, r.block, r.ids) for r in files.index_lines(postings).collect()] == [("a", 0, " ".join(["0"] + ["3"] * (n - 1)))]
+    assert time.monotonic() - began < 20
+    rows = [(0, [5, 7, 20]), (1, [4]), (2, []), (3, None), (4, [1, None, 9])]
+    for kind in ("int", "bigint"):
+        df = spark.createDataFrame(rows, f"i int, v array<{kind}>").select("i", codec.delta(F.col("v")).alias("d"))
+        assert df.schema["d"].dataType.simpleString() == f"array<{kind}>"
+        assert {r.i: r.d for r in df.collect()} == {0: [5, 2, 13], 1: [4], 2: [], 3: None, 4: [1, None, None]}
+
+
 @pytest.mark.parametrize("form", ["bin", "vbyte"])
 def test_binary_files(spark, tmp_path, monkeypatch, form):
     rows = [("a", i * 700, 1 + i % 200) for i in range(300)] + [("b", 2**32 - 1, 2**20), ("é", 0, 1)]
