@@ -8,16 +8,19 @@ their path names, in streams: a task holds one block of a list, or one list that
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.codec import from_vbytes, to_vbytes
 from lodestone.operators.index import packed_blocks
+from lodestone.session import shuffle_partitions
 
 CODECS = ("bin", "vbyte")
 
@@ -40,6 +43,13 @@ def encode_numbers(values: np.ndarray, codec: str) -> bytes:
     return values.astype("<u4").tobytes() if codec == "bin" else to_vbytes(values)[0].tobytes()
 
 
+def encode_lists(values: np.ndarray, starts: np.ndarray, codec: str) -> list[bytes]:
+    """The bytes of each list of numbers; ``starts`` has where the lists begin in ``values``, and their end."""
+    data = encode_numbers(values, codec)
+    at = 4 * starts if codec == "bin" else np.concatenate([[0], np.flatnonzero(np.frombuffer(data, np.uint8) >= 128) + 1])[starts]
+    return [data[a:b] for a, b in itertools.pairwise(at.tolist())]
+
+
 def decode_numbers(data: bytes, codec: str, count: int) -> tuple[np.ndarray, int]:
     """The first ``count`` numbers, and the bytes they take."""
     if codec == "bin":
@@ -147,34 +157,57 @@ def write_blocks(postings: DataFrame, path: str, codec: str = "vbyte") -> None:
     system, root = _open(path)
     system.create_dir(root, recursive=True)
     rows = postings.where("term is not null and term != '' and doc_id is not null and freq is not null and block_no is not null")
-    rows = rows.withColumn("term", F.when(F.col("term").rlike(r"\\s"), F.raise_error(F.lit("a term holds white space"))).otherwise(F.col("term")))
-    # a list inside a block is as long as the builder's memory allowed
-    lists = rows.groupBy("block_no", "term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "freq"))).alias("l"))
-    lists = lists.select("block_no", "term", "l.doc_id", "l.freq").repartition("block_no").sortWithinPartitions("block_no", "term")
+    rows = rows.withColumn("term", F.when(F.col("term").rlike(r"\s"), F.raise_error(F.lit("a term holds white space"))).otherwise(F.col("term")))
+    # rows, not lists, are sorted: a batch of them is coded at once, and a list may go on in the next batch
+    rows = rows.select("block_no", "term", F.col("doc_id").cast("bigint"), F.col("freq").cast("bigint")).repartition("block_no").sortWithinPartitions("block_no", "term", "doc_id", "freq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _open(path)
         here, out, done = None, [], []
+        last, parts = None, ([], [])  # the list that may go on; what is not written yet of ids and freqs
+
+        def put() -> None:
+            if last:
+                _, term, count, ids, freqs = last
+                size = count.to_bytes(4, "little")
+                parts[0].extend((term, b" ", size, *ids))
+                parts[1].extend((size, *freqs))
+
+        def write() -> None:
+            for f, p in zip(out, parts):
+                f.write(b"".join(p))
+                p.clear()
 
         def close() -> None:
+            write()
             for f, tail in zip(out, ("", "_freqs")):
                 f.close()
                 store.move(f"{root}/_{here:03d}{tail}.tmp", f"{root}/{here:03d}{tail}.{codec}")
             if out:
                 done.append(here)
 
-        for b in batches:
-            for no, term, ids, freqs in zip(*(b.column(i).to_pylist() for i in range(4))):
+        for b in (x for x in batches if x.num_rows):
+            nos, terms = b.column(0).to_numpy(), b.column(1).cast(pa.binary())
+            begins = np.flatnonzero(np.concatenate([[True], (nos[1:] != nos[:-1]) | pc.not_equal(terms[1:], terms[:-1]).to_numpy(zero_copy_only=False)]))
+            starts = np.append(begins, b.num_rows)
+            ids, freqs = (encode_lists(b.column(i).to_numpy(), starts, codec) for i in (2, 3))
+            for no, term, count, i, f in zip(nos[begins].tolist(), terms.take(pa.array(begins)).to_pylist(), np.diff(starts).tolist(), ids, freqs):
+                if last and (no, term) == (last[0], last[1]):
+                    last[2] += count
+                    last[3].append(i)
+                    last[4].append(f)
+                    continue
+                put()
+                last = [no, term, count, [i], [f]]
                 if no != here:
                     close()
                     here, out = no, [store.open_output_stream(f"{root}/_{no:03d}{tail}.tmp") for tail in ("", "_freqs")]
-                count = np.array([len(ids)], "<u4").tobytes()
-                out[0].write(term.encode() + b" " + count + encode_numbers(np.array(ids), codec))
-                out[1].write(count + encode_numbers(np.array(freqs), codec))
+            write()
+        put()
         close()
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], ["block_no"])
 
-    lists.mapInArrow(run, "block_no int").collect()  # one number for each block
+    rows.mapInArrow(run, "block_no int").collect()  # one number for each block
 
 
 def block_files(path: str, codec: str = "vbyte") -> list[tuple[str, str]]:
@@ -189,10 +222,46 @@ def block_files(path: str, codec: str = "vbyte") -> list[tuple[str, str]]:
     return [(f"{root}/{n}", f"{root}/{partner[n]}") for n in ids]
 
 
+#: Coded bytes of lists that are decoded at once.
+DECODED_AT_ONCE = 1 << 20
+_LOW = bytes(range(128))
+
+
+def _lists_of(data: bytes, codec: str, named: bool) -> Iterator[tuple[bytes, int, bytes]]:
+    """(term, number of values, bytes) of the lists in a file of a block; only files of ids name terms. A list that is cut
+    short raises."""
+    marks = np.flatnonzero(np.frombuffer(data, np.uint8) >= 128) if codec == "vbyte" else None
+    at = seen = 0
+    while at < len(data):
+        blank = data.index(b" ", at) if named else at - 1
+        begin = blank + 5
+        count = int.from_bytes(data[blank + 1 : begin], "little")
+        if marks is None:
+            end = begin + 4 * count
+        else:
+            # marks in the term and the count end no value
+            seen += len(data[at:begin].translate(None, _LOW)) + count
+            end = begin if not count else int(marks[seen - 1]) + 1 if seen <= len(marks) else len(data) + 1
+        if max(begin, end) > len(data):
+            raise ValueError("a list is cut short")
+        yield data[at : max(at, blank)], count, data[begin:end]
+        at = end
+
+
 def read_blocks(spark: SparkSession, path: str, codec: str = "vbyte") -> DataFrame:
-    """The rows (term, doc_id, freq, block_no) of a folder of blocks, one task for each pair of files; block_no is the
+    """The rows (term, doc_id, freq, block_no) of a folder of blocks, a pair of files in one task; block_no is the
     number in the name. Lists of different lengths raise."""
-    pairs = spark.createDataFrame(block_files(path, codec), "ids string, freqs string").repartition("ids")
+    found = block_files(path, codec)
+    # the number is given: by their size, all names would go to one task
+    pairs = spark.createDataFrame(found, "ids string, freqs string").repartition(max(1, min(len(found), shuffle_partitions(spark))))
+
+    def rows(no: int, lists: list[tuple[bytes, int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        terms, sizes, *data = zip(*lists)
+        terms, flat = pa.array(terms, pa.binary()).cast(pa.string()), np.repeat(np.arange(len(terms)), sizes)
+        ids, freqs = (decode_numbers(b"".join(x), codec, len(flat))[0] for x in data)
+        for i in range(0, len(flat), 1 << 16):
+            at = flat[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([terms.take(pa.array(at)), pa.array(ids[i : i + len(at)]), pa.array(freqs[i : i + len(at)]), pa.array(np.full(len(at), no, np.int32))], ["term", "doc_id", "freq", "block_no"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = _open(path)
@@ -201,26 +270,18 @@ def read_blocks(spark: SparkSession, path: str, codec: str = "vbyte") -> DataFra
                 no = int(ids_name.rsplit("/", 1)[-1].split(".")[0])
                 # a block was written from one task's memory and fits one
                 data, other = (store.open_input_file(n).readall() for n in (ids_name, freqs_name))
-                at = beside = 0
-                terms, ids, freqs, sizes = [], [], [], []
-                while at < len(data):
-                    blank = data.index(b" ", at)
-                    count, count2 = (int(np.frombuffer(d, "<u4", 1, o)[0]) for d, o in ((data, blank + 1), (other, beside)))
+                lists, size = [], 0
+                beside = _lists_of(other, codec, False)
+                for term, count, ids in _lists_of(data, codec, True):
+                    _, count2, freqs = next(beside, (b"", None, b""))
                     if count != count2:
                         raise ValueError("ids and freqs differ in number")
-                    terms.append(data[at:blank].decode())
-                    sizes.append(count)
-                    # a number takes five bytes at most
-                    values, used = decode_numbers(data[blank + 5 : blank + 5 + 5 * count], codec, count)
-                    ids.append(values)
-                    at = blank + 5 + used
-                    values, used = decode_numbers(other[beside + 4 : beside + 4 + 5 * count], codec, count)
-                    freqs.append(values)
-                    beside += 4 + used
-                if terms:
-                    flat = np.repeat(np.arange(len(terms)), sizes)
-                    table = pa.RecordBatch.from_arrays([pa.array(terms).take(pa.array(flat)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(freqs)), pa.array(np.full(len(flat), no, np.int32))], ["term", "doc_id", "freq", "block_no"])
-                    for i in range(0, len(flat), 1 << 16):
-                        yield table.slice(i, 1 << 16)
+                    lists.append((term, count, ids, freqs))
+                    size += len(ids) + len(freqs)
+                    if size >= DECODED_AT_ONCE:
+                        yield from rows(no, lists)
+                        lists, size = [], 0
+                if lists:
+                    yield from rows(no, lists)
 
     return pairs.mapInArrow(run, "term string, doc_id bigint, freq bigint, block_no int")

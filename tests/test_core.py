@@ -200,6 +200,35 @@ def test_delta_of_long_lists(spark):
         assert {r.i: r.d for r in df.collect()} == {0: [5, 2, 13], 1: [4], 2: [], 3: None, 4: [1, None, None]}
 
 
+@pytest.mark.parametrize("form", ["bin", "vbyte"])
+def test_block_files(spark, tmp_path, monkeypatch, form):
+    """Blocks are read by several tasks; lists that are longer than a batch, or come in several parts, stay whole."""
+    rows = [("a", i * 700, 1 + i % 200, i % 8) for i in range(100_000)] + [("\u0100\u00e9", i, 300, 3) for i in range(3)] + [("c\\s", 2**32 - 1, 7, 11), ("c\\s", 2**32 - 1, 7, 11), ("b", 0, 2**20, 8), (None, 1, 1, 1), ("", 1, 1, 1)]
+    postings = spark.createDataFrame(rows, "term string, doc_id bigint, freq bigint, block_no int").repartition(5)
+    path = str(tmp_path / "b")
+    binary.write_blocks(postings, path, form)
+    read = lambda: binary.read_blocks(spark, path, form)
+    assert read().select(F.spark_partition_id()).distinct().count() > 1
+    monkeypatch.setattr(binary, "DECODED_AT_ONCE", 5)
+    assert sorted(map(tuple, read().collect())) == sorted(r for r in rows if r[0])
+    whole = {"bin": b"b \1\0\0\0\0\0\0\0", "vbyte": b"b \1\0\0\0\x80"}[form]
+    assert (tmp_path / "b" / f"008.{form}").read_bytes() == whole
+    (tmp_path / "b" / f"008.{form}").write_bytes(whole[:-1])
+    with pytest.raises(Exception, match="cut short"):
+        read().collect()
+    (tmp_path / "b" / f"008.{form}").write_bytes(whole[:2] + b"\2" + whole[3:] + whole[-1:] * (4 if form == "bin" else 1))
+    with pytest.raises(Exception, match="differ in number"):
+        read().collect()
+    for bad, why in (("a b", "white space"), ("a\tb", "white space")):
+        with pytest.raises(Exception, match=why):
+            binary.write_blocks(postings.limit(1).withColumn("term", F.lit(bad)), str(tmp_path / "w"), form)
+    for c in ("doc_id", "freq"):
+        with pytest.raises(Exception, match="32 bits"):
+            binary.write_blocks(postings.where("term = 'b'").withColumn(c, F.lit(-1)), str(tmp_path / "x"), form)
+    (tmp_path / "none").mkdir()
+    assert binary.read_blocks(spark, str(tmp_path / "none"), form).count() == 0
+
+
 @pytest.mark.parametrize("form", ["bin", "vbyte"])
 def test_binary_files(spark, tmp_path, monkeypatch, form):
     rows = [("a", i * 700, 1 + i % 200) for i in range(300)] + [("b", 2**32 - 1, 2**20), ("é", 0, 1)]
